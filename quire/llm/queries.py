@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, confusables, mojibake, packing
 from quire.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.damaged_words(table(spark, sf, "words")).select("word_id", "field_name")
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.damaged_words(table(spark, sf, "words"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return confusables.look_alikes(table(spark, sf, "words"), table(spark, sf, "text_blocks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf, "documents"))
 
@@ -19,7 +31,7 @@ def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_packing": p7_packing}
+    return {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
