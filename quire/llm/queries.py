@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, confusables, mojibake, packing, sentences
+from quire.llm import bpe, confusables, mojibake, names, packing, sentences
 from quire.sources.tables import table
 
 
@@ -14,6 +14,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.block_sentences(table(spark, sf, "text_blocks"), table(spark, sf, "aruns"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.same_names(table(spark, sf, "bib_names"))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.entities(table(spark, sf, "bib_names"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.damaged_words(table(spark, sf, "words")).select("word_id", "field_name")
 
@@ -35,7 +43,7 @@ def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
