@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, confusables, mojibake, names, packing, sentences
+from quire.llm import abuse, bpe, confusables, mojibake, names, packing, sentences
 from quire.sources.tables import table
 
 
@@ -42,8 +42,20 @@ def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), table(spark, sf, "containers"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.abusive(table(spark, sf, "documents"), table(spark, sf, "review_labels"))
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.scored(table(spark, sf, "documents"), table(spark, sf, "review_labels"))
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.rates(table(spark, sf, "documents"), table(spark, sf, "review_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
