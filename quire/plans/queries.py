@@ -7,16 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import nested
+from quire.plans import layout, texts  # noqa: F401
+from quire.plans.registry import QUERIES, SQL, query
 from quire.sources.tables import table
 
 
+@query()
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.nodes(table(spark, sf, "raw_records"))
 
 
+@query()
+def p5_toc_entries(spark: SparkSession, sf: str) -> DataFrame:
+    found = nested.record_triples(table(spark, sf, "raw_records"))
+    return nested.flat_table(found, "toc_entry", ["title", "label", "folio", "level", "page"])
+
+
+@query()
+def p5_authors(spark: SparkSession, sf: str) -> DataFrame:
+    found = nested.record_triples(table(spark, sf, "raw_records"))
+    return nested.flat_table(found, "author", ["surname", "org"])
+
+
+@query()
+def p5_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    found = nested.record_triples(table(spark, sf, "raw_records"))
+    return nested.flat_table(found, "dropped", ["page", "kind", "text", "reason", "partly"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
