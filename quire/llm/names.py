@@ -297,7 +297,8 @@ def star(words: DataFrame) -> DataFrame:
     )
     hop = best.select("key", F.col("word").alias("to"), F.col("to").alias("next"))
     best = best.join(hop, ["key", "to"], "left").select("key", "word", F.coalesce("next", "to").alias("canon"))
-    return words.select("key", "word").join(best, ["key", "word"], "left").select("key", "word", F.coalesce("canon", "word").alias("canon"))
+    # cut, as the joins of several of these in one plan would weigh on the driver
+    return cut(words.select("key", "word").join(best, ["key", "word"], "left").select("key", "word", F.coalesce("canon", "word").alias("canon")))
 
 
 def _people(m: DataFrame) -> DataFrame:
