@@ -32,7 +32,7 @@ def parse_reference(text: str | None) -> dict | None:
     before, after = body[: m.start()].strip(" .,;("), body[m.end() :].strip(" .,;:)")
     if m.start() > len(body) * 0.55 and ". " in before:
         # numbered style: authors. title. source year;volume(issue):pages
-        pieces = re.split(r"(?<=[a-z)])\.\s+", before)
+        pieces = re.split(r"\.\s+", before)
         out["authors"] = pieces[0].strip(" .")
         if len(pieces) > 1:
             out["title"] = pieces[1].strip(" .")

@@ -92,6 +92,7 @@ def build(stream: Iterator[tuple[str, object]]) -> object:
     """The value of a stream of events, built without recursion."""
     stack: list = []
     keys: list = []
+    root: list = []
     for what, value in stream:
         if what == "key":
             keys[-1] = value
@@ -104,12 +105,12 @@ def build(stream: Iterator[tuple[str, object]]) -> object:
             value = stack.pop()
             keys.pop()
         if not stack:
-            return value
-        if isinstance(stack[-1], dict):
+            root.append(value)
+        elif isinstance(stack[-1], dict):
             stack[-1][keys[-1]] = value
         else:
             stack[-1].append(value)
-    raise Unreadable("no value")
+    return root[0]
 
 
 def parse(text: str) -> object:

@@ -11,40 +11,44 @@ from pyspark.sql import DataFrame
 
 def visual_lines(words: DataFrame, guard: float = 0.85) -> DataFrame:
     """``word_id, line``: words of a page in visual lines. A word joins the line whose middle is nearest if it lies
-    within half the smaller height and sizes agree by the guard; small words join the line they overlap most; rotated
-    words come last, each by itself."""
+    within half the smaller height and sizes agree by the guard; words smaller than the page's usual size join the line
+    they overlap most, or make lines of their own; rotated words come last, each by itself."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "word_id"])
+    def clustered(rows: list) -> list[list]:
         lines: list[list] = []  # middle, size, words, top, bottom
-        out: dict[int, int] = {}
-        small = []
-        for w in page[page.upright.fillna(True)].itertuples():
+        for w in rows:
             middle, height = (w.y0 + w.y1) / 2, w.y1 - w.y0
             best = None
             for i in range(len(lines) - 1, max(-1, len(lines) - 9), -1):
                 m, size, _, top, bottom = lines[i]
                 if abs(m - middle) <= min(height, bottom - top) / 2 and min(size, w.size) >= guard * max(size, w.size) and (best is None or abs(m - middle) < abs(lines[best][0] - middle)):
                     best = i
-            if best is None and lines and w.size < guard * lines[-1][1]:
-                small.append(w)
-                continue
             if best is None:
                 lines.append([middle, w.size, [w], w.y0, w.y1])
             else:
                 lines[best][2].append(w)
-        for w in small:
-            over = [(min(w.y1, b) - max(w.y0, t), -i) for i, (_, _, _, t, b) in enumerate(lines)]
-            best = max(over, default=(0, 0))
-            if best[0] > 0:
-                lines[-best[1]][2].append(w)
+        return lines
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0", "word_id"])
+        upright = page.upright.fillna(True).astype(bool)
+        rows = list(page[upright].itertuples())
+        usual = page[upright]["size"].mode().min() if rows else 0.0
+        out: dict[int, int] = {}
+        lines = clustered([w for w in rows if w.size >= guard * usual])
+        own = []
+        for w in (w for w in rows if w.size < guard * usual):
+            over = max(((min(w.y1, b) - max(w.y0, t), -i) for i, (_, _, _, t, b) in enumerate(lines)), default=(0, 0))
+            if over[0] > 0:
+                lines[-over[1]][2].append(w)
             else:
-                lines.append([(w.y0 + w.y1) / 2, w.size, [w], w.y0, w.y1])
+                own.append(w)
+        lines += clustered(own)
         order = sorted(range(len(lines)), key=lambda i: (lines[i][3], min(x.x0 for x in lines[i][2])))
         for n, i in enumerate(order):
             for w in lines[i][2]:
                 out[w.word_id] = n
-        for n, w in enumerate(page[~page.upright.fillna(True)].itertuples(), len(lines)):
+        for n, w in enumerate(page[~upright].itertuples(), len(lines)):
             out[w.word_id] = n
         return pd.DataFrame({"word_id": list(out), "line": list(out.values())}, dtype="int64")
 
