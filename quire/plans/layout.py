@@ -15,7 +15,7 @@ _WORD_VALUES = ["doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "font",
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Each word once, as last loaded."""
-    return latest(table(spark, sf, "words"), ["word_id"], ["loaded_at"], _WORD_VALUES)
+    return latest(table(spark, sf, "words"), ["word_id"], ["loaded_at"], _WORD_VALUES, ["doc_id", "page", "seq"])
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +23,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return latest(table(spark, sf, "text_blocks"), ["block_id"], ["loaded_at"], ["doc_id", "page", "ord", "kind", "text"])
+    return latest(table(spark, sf, "text_blocks"), ["block_id"], ["loaded_at"], ["doc_id", "page", "ord", "kind", "text"], [])
 
 
 def regions(w: DataFrame) -> DataFrame:

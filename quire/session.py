@@ -23,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder, so that later stages read files and not the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, where a small table comes in fewer; large tables stay as
+    they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

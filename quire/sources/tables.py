@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """One row per key: of several deliveries the one greatest in ``order`` (nulls first), then in its values.
+def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str], ties: list[str] | None = None) -> DataFrame:
+    """One row per key: of several deliveries the one greatest in ``order`` (nulls last), then in ``ties``, which are
+    the values unless given.
 
-    ``max_by`` merges on the map side, so a key delivered very often never meets in one task.
+    The limit of one row per key is also applied before the shuffle, so a key delivered very often never meets in one
+    task, and only columns that are used later are read.
     """
-    rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in values])
-    best = F.max_by(F.struct(*[F.col(c) for c in values]), rank)
-    return df.groupBy(*keys).agg(best.alias("_v")).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
+    by = [F.col(c).desc_nulls_last() for c in [*order, *(values if ties is None else ties)]]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.select(*keys, *dict.fromkeys([*order, *values, *(ties or [])])).withColumn("_n", n).where(F.col("_n") == 1).select(*keys, *values)
