@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.confusables import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
+from quire.session import spread
 
 #: Reviewed documents and bytes of text of each that the regression is fitted on; longer texts aren't examples.
 REVIEWED, EXAMPLE = 8000, 60_000
@@ -263,7 +264,7 @@ def scored(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([own.document(texts[i].as_py()) for i in range(len(texts))], pa.float64())], schema=schema)
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{ddl}, score double")
+    return spread(source).mapInArrow(run, f"{ddl}, score double")
 
 
 def abusive(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.session import spread
+
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -240,11 +242,11 @@ def _lists(packed: list[bytes]) -> pa.Array:
 def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids``: the token ids of every text, without special tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return documents.select("doc_id", "text").mapInArrow(_each_text(_lists, schema, folder, name, 1), "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_each_text(_lists, schema, folder, name, 1), "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_tokens``: the length of every text in tokens; 0 for null and empty text."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
     count = lambda packed: pa.array([len(p) // 4 for p in packed], pa.int64())
-    return documents.select("doc_id", "text").mapInArrow(_each_text(count, schema, folder, name, 1), "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_each_text(count, schema, folder, name, 1), "doc_id bigint, n_tokens bigint")
