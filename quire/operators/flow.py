@@ -87,8 +87,8 @@ def page_class(text: Column) -> Column:
 def flow_reason(text: Column, edge: Column) -> Column:
     """Why a block is kept out of the flow; null if it stays: watermarks, continued lines, running heads, author queries."""
     return (
-        F.when(text.rlike(r"(?i)^\s*(draft|confidential|proof|uncorrected|sample copy)[\s!.]*$"), "watermark").when(text.rlike(r"(?i)\(?(continued|cont\.|fortsetzung|suite)\)?\s*$") & (F.length(text) < 80), "continued line")
-        .when(text.rlike(r"(?i)^\s*\[?(AQ|Q|author query)\s*[0-9]*\s*:"), "author query").when(edge & text.rlike(r"^\s*([0-9]{1,4}|[ivxlc]{1,7})\s*$"), "folio").when(edge & (F.length(text) < 60), "running head")
+        F.when(text.rlike(r"(?iu)^\s*(draft|confidential|proof|uncorrected|sample copy)[\s!.]*$"), "watermark").when(text.rlike(r"(?iu)\(?(continued|cont\.|fortsetzung|suite)\)?\s*$") & (F.length(text) < 80), "continued line")
+        .when(text.rlike(r"(?iu)^\s*\[?(AQ|Q|author query)\s*[0-9]*\s*:"), "author query").when(edge & text.rlike(r"^\s*([0-9]{1,4}|[ivxlc]{1,7})\s*$"), "folio").when(edge & (F.length(text) < 60), "running head")
     )
 
 
