@@ -147,13 +147,13 @@ def list_islands(spark, sf):
 
 
 @query(f"""WITH {T}, o AS (SELECT *, lead(text) OVER w AS nx, lead(kind) OVER w AS nk FROM t WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord, block_id))
-SELECT block_id, regexp_matches(rtrim(text, ' ' || chr(10)), '[.!?…:]["”’»)]*$') AS ended, nk = 'paragraph' AND regexp_matches(nx, '^[a-z]') AND NOT regexp_matches(rtrim(text, ' ' || chr(10)), '[.!?…:]["”’»)]*$') AS runs_on FROM o WHERE kind = 'paragraph'""")
+SELECT block_id, regexp_matches(rtrim(text, ' ' || chr(10)), '[.!?…:]["”’»)]*$') AS ended, coalesce(nk = 'paragraph' AND regexp_matches(nx, '^[a-z]') AND NOT regexp_matches(rtrim(text, ' ' || chr(10)), '[.!?…:]["”’»)]*$'), false) AS runs_on FROM o WHERE kind = 'paragraph'""")
 def paragraph_continuation(spark, sf):
     """Paragraphs without an end that go on in the next block of the page."""
     w = Window.partitionBy("doc_id", "page").orderBy("ord", "block_id")
     o = blocks(spark, sf).where(F.col("text").isNotNull()).withColumn("nx", F.lead("text").over(w)).withColumn("nk", F.lead("kind").over(w))
     ended = F.regexp_replace("text", r"[ \n]+\z", "").rlike(r"[.!?…:][\"”’»)]*$")
-    return o.where(F.col("kind") == "paragraph").select("block_id", ended.alias("ended"), ((F.col("nk") == "paragraph") & F.col("nx").rlike("^[a-z]") & ~ended).alias("runs_on"))
+    return o.where(F.col("kind") == "paragraph").select("block_id", ended.alias("ended"), F.coalesce((F.col("nk") == "paragraph") & F.col("nx").rlike("^[a-z]") & ~ended, F.lit(False)).alias("runs_on"))
 
 
 _CHECK = "r AS (SELECT * FROM raw_records WHERE kind = 'export_check' AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY received_at DESC, payload DESC) = 1)"

@@ -77,20 +77,20 @@ _D = f"d AS (SELECT * FROM ({_D}) QUALIFY row_number() OVER (PARTITION BY block_
 
 @query(f"""WITH {_D} SELECT a.block_id, a.run_ix, a.text, CASE WHEN a.family IS DISTINCT FROM d.family THEN a.family END AS family,
 CASE WHEN NOT (coalesce(a.sup, false) OR coalesce(a.sub, false)) AND abs(a.size - d.size) >= 0.5 THEN a.size END AS size,
-CASE WHEN a.bold IS DISTINCT FROM d.bold THEN a.bold END AS bold, CASE WHEN a.italic IS DISTINCT FROM d.italic THEN a.italic END AS italic, a.sup, a.sub FROM aruns a LEFT JOIN d USING (block_id)""")
+CAST(CASE WHEN a.bold IS DISTINCT FROM d.bold THEN a.bold END AS VARCHAR) AS bold, CAST(CASE WHEN a.italic IS DISTINCT FROM d.italic THEN a.italic END AS VARCHAR) AS italic, a.sup, a.sub FROM aruns a LEFT JOIN d USING (block_id)""")
 def differential_runs(spark, sf):
     r = runs(spark, sf)
-    return styles.differential(r, styles.dominant_format(r))
+    return styles.differential(r, styles.dominant_format(r)).withColumns({c: F.col(c).cast("string") for c in ("bold", "italic")})
 
 
-@query("SELECT block_id, run_ix, text, family, CASE WHEN coalesce(sup, false) OR coalesce(sub, false) THEN NULL ELSE bold END AS bold, CASE WHEN coalesce(sup, false) OR coalesce(sub, false) THEN NULL ELSE italic END AS italic FROM aruns")
+@query("SELECT block_id, run_ix, text, family, CAST(CASE WHEN coalesce(sup, false) OR coalesce(sub, false) THEN NULL ELSE bold END AS VARCHAR) AS bold, CAST(CASE WHEN coalesce(sup, false) OR coalesce(sub, false) THEN NULL ELSE italic END AS VARCHAR) AS italic FROM aruns")
 def absolute_runs(spark, sf):
     """The round trip: differential and back; every run has its own format again."""
     r = runs(spark, sf)
     d = styles.dominant_format(r)
     back = styles.absolute(styles.differential(r, d), d)
     script = r.select("block_id", "run_ix", (F.coalesce("sup", F.lit(False)) | F.coalesce("sub", F.lit(False))).alias("s"))
-    return back.join(script, ["block_id", "run_ix"]).select("block_id", "run_ix", "text", "family", F.when(~F.col("s"), F.col("bold")).alias("bold"), F.when(~F.col("s"), F.col("italic")).alias("italic"))
+    return back.join(script, ["block_id", "run_ix"]).select("block_id", "run_ix", "text", "family", F.when(~F.col("s"), F.col("bold")).cast("string").alias("bold"), F.when(~F.col("s"), F.col("italic")).cast("string").alias("italic"))
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN lag(run_ix) OVER o IS NULL THEN 1 WHEN family IS NOT DISTINCT FROM lag(family) OVER o AND size IS NOT DISTINCT FROM lag(size) OVER o AND bold IS NOT DISTINCT FROM lag(bold) OVER o AND italic IS NOT DISTINCT FROM lag(italic) OVER o AND sup IS NOT DISTINCT FROM lag(sup) OVER o AND sub IS NOT DISTINCT FROM lag(sub) OVER o THEN 0 ELSE 1 END AS nw FROM aruns WINDOW o AS (PARTITION BY block_id ORDER BY run_ix)),

@@ -11,7 +11,7 @@ def normal(df):
     df = df[sorted(df.columns)].copy()
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, bool):
             return str(int(v))
