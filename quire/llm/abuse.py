@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +31,12 @@ from quire.session import spread
 
 #: Reviewed documents and bytes of text of each that the regression is fitted on; longer texts aren't examples.
 REVIEWED, EXAMPLE = 8000, 60_000
-#: Features must occur in so many of the passages it is fitted on.
+#: Features must occur in so many of the documents it is fitted on.
 SEEN = 2
-#: Rounds of choosing examples and fitting, and steps of one fit.
-ROUNDS, STEPS, DECAY = 4, 200, 5e-5
+#: Rounds of choosing examples and fitting, steps of one fit, weight of the squared weights against the examples.
+ROUNDS, STEPS, RIDGE = 3, 200, 0.3
 #: Expected severity from which a document is found.
-FOUND = 0.8
+FOUND = 0.35
 
 _LOOKS = str.maketrans(dict(zip(CYRILLIC.lower() + GREEK.lower(), CYRILLIC_AS.lower() + GREEK_AS.lower())) | {c: None for c in "​‌‍⁠﻿­"})
 _FOREIGN = re.compile("[Ͱ-ԯ​-‍⁠﻿­]")
@@ -151,9 +152,13 @@ class Ordinal:
         return self.severity(worst)
 
 
-def fit(examples: list[set[str]], grades: np.ndarray, cost: np.ndarray) -> Ordinal:
-    """The regression that fits the examples best, by full gradient steps with momentum."""
-    count = Counter(f for e in examples for f in e)
+def fit(examples: list[set[str]], grades: np.ndarray, cost: np.ndarray, times: np.ndarray | None = None) -> Ordinal:
+    """The regression that fits the examples best, by full gradient steps with momentum. ``times`` says in how many
+    documents each example is."""
+    count: Counter[str] = Counter()
+    for i, e in enumerate(examples):
+        for f in e:
+            count[f] += 1 if times is None else int(times[i])
     names = sorted(f for f, n in count.items() if n >= SEEN)
     at = {f: i for i, f in enumerate(names)}
     rows = np.array([i for i, e in enumerate(examples) for f in e if f in at], dtype=np.int64)
@@ -172,7 +177,7 @@ def fit(examples: list[set[str]], grades: np.ndarray, cost: np.ndarray) -> Ordin
         p = np.maximum(high - low, 1e-9)
         dlow, dhigh = low * (1 - low), high * (1 - high)
         gz = cost * (dhigh - dlow) / p
-        gw = np.bincount(cols, weights=gz[rows] * value, minlength=len(names)) / total + DECAY * w
+        gw = np.bincount(cols, weights=gz[rows] * value, minlength=len(names)) / total + RIDGE / total * w
         gt = np.array([-(cost * dhigh / p)[grades == k].sum() + (cost * dlow / p)[grades == k + 1].sum() for k in (0, 1)]) / total
         g = np.concatenate([gw, gt])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -202,43 +207,59 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
                     kept.append(features(found))
                 own.add(known[key])
         documents.append(sorted(own))
-    # to begin with: how much more often features occur in documents found abusive
-    pos, neg = Counter(), Counter()
+    base = max(0.02, sum(map(bool, grade)) / len(grade))
+    with_, without = np.zeros(len(kept)), np.zeros(len(kept))
     for own, g in zip(documents, grade):
-        (pos if g else neg).update({f for i in own for f in kept[i]})
-    n_pos, n_neg = sum(map(bool, grade)), sum(not g for g in grade)
-    odds = {f: math.log((n + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1)) for f, n in pos.items() if n >= 2}
-    score = np.array([sum(odds.get(f, -0.3) for f in e) / math.sqrt(len(e)) for e in kept])
-    severe, model = np.full(len(kept), 1.5), None
-    for turn in range(ROUNDS):
+        (with_ if g else without)[own] += 1
+    p = np.clip(with_ / np.maximum(with_ + without, 1), 1e-6, 1 - 1e-6)
+    # so far from the usual share that chance can't explain it
+    sure = (p >= 0.7) & ((with_ + without) * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))) > 12)
+    length = [math.sqrt(max(1, sum(1 for f in e if " " not in f))) for e in kept]
+
+    def scores(weights: dict[str, float]) -> np.ndarray:
+        return np.array([sum(map(weights.get, e, iter(lambda: 0.0, 1))) / n for e, n in zip(kept, length)])
+
+    def fitted(docs: list[int], z: np.ndarray | None, limit: float) -> Ordinal:
+        """A fit on some documents; ``z`` scores their passages by a fit on the others."""
+        own_with, own_without = np.zeros(len(kept)), np.zeros(len(kept))
         top = np.zeros(len(kept), dtype=np.int64)
-        doubt = np.zeros(len(kept), dtype=bool)
-        for own, g in zip(documents, grade):
+        for d in docs:
+            own, g = documents[d], grade[d]
+            (own_with if g else own_without)[own] += 1
             if g and own:
-                best = max(own, key=lambda i: score[i])
                 # a document without any suspicious passage was probably judged wrongly
-                if score[best] > (0.8 if turn == 0 else -0.5):
-                    top[best] = max(top[best], g)
-                if turn:
-                    for i in own:
-                        if severe[i] > 1.2:
-                            top[i] = max(top[i], g)
-        often = Counter(i for own, g in zip(documents, grade) if not g for i in own)
-        for i, n in often.items():
-            if top[i] and n > 2:
-                top[i] = 0
-            if turn and severe[i] > 1.6 and n <= 2:
-                doubt[i] = True  # one reviewer against the rest
-        use = np.array([i for i in range(len(kept)) if top[i] or (i in often and not doubt[i])], dtype=np.int64)
+                best = max(own, key=lambda i: z[i])
+                for i in own:
+                    if sure[i] or (i == best and z[i] > limit) or z[i] > limit + 1:
+                        top[i] = max(top[i], g)
+        top[(own_without > 2) & (own_with < 1.5 * own_without)] = 0
+        # what mostly stands in documents found abusive is no example of grade 0
+        use = np.flatnonzero((top > 0) | ((own_without > 0) & ~sure))
         grades = top[use]
-        # what many documents without complaint hold is surely harmless
-        times = np.array([min(often.get(i, 0), 40) for i in use], dtype=float)
-        cost = np.where(grades > 0, min(20.0, max(1.0, (grades == 0).sum() / max(1, (grades > 0).sum()) / 4)), np.maximum(times, 1.0))
-        model = fit([kept[i] for i in use], grades, cost)
-        z = np.array([sum(model.weights.get(f, 0.0) for f in e) / math.sqrt(max(1, sum(1 for f in e if " " not in f))) for e in kept])
-        severe = np.array([model.severity(x) for x in z])
-        score = z - model.thresholds[0]
-    return model
+        # what many documents without complaint hold is surely harmless, and what many found abusive hold is not
+        times = np.clip(np.where(grades > 0, own_with[use], own_without[use]), 1, 40)
+        balance = times[grades == 0].sum() / max(1.0, times[grades > 0].sum()) / 4
+        cost = times * np.where(grades > 0, min(5.0, max(1.0, balance)), 1.0)
+        # what looks abusive and was passed once or twice may have been judged wrongly
+        cost[(grades == 0) & (z[use] > limit + 2) & (own_without[use] <= 2)] *= 0.3
+        return fit([kept[i] for i in use], grades, cost, (own_with + own_without)[use])
+
+    half = [zlib.crc32(text.encode("utf-8", "replace")) >> 7 & 1 for text, _ in reviewed]
+    folds = [[d for d in range(len(documents)) if half[d] == k] for k in (0, 1)]
+    z, limit = [], 0.8
+    for docs in folds:
+        # to begin with: how much more often features occur in documents found abusive
+        pos, neg = Counter(), Counter()
+        for d in docs:
+            (pos if grade[d] else neg).update({f for i in documents[d] for f in kept[i]})
+        n_pos, n_neg = sum(bool(grade[d]) for d in docs), sum(not grade[d] for d in docs)
+        odds = {f: math.log((n + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1)) for f, n in pos.items() if n >= 2}
+        z.append(np.array([sum(odds.get(f, -0.3) for f in e) / math.sqrt(len(e)) for e in kept]))
+    for _ in range(ROUNDS):
+        # passages of either half are chosen by the other, so that none vouches for itself
+        models = [fitted(folds[k], z[1 - k], limit) for k in (0, 1)]
+        z, limit = [scores(m.weights) - m.thresholds[0] for m in models], 0.5
+    return fitted(list(range(len(documents))), (z[0] + z[1]) / 2, limit)
 
 
 def reviewed_texts(documents: DataFrame, labels: DataFrame) -> list[tuple[str, list[int]]]:
