@@ -36,7 +36,7 @@ SEEN = 2
 #: Rounds of choosing examples and fitting, steps of one fit, weight of the squared weights against the examples.
 ROUNDS, STEPS, RIDGE = 3, 200, 0.3
 #: Expected severity from which a document is found.
-FOUND = 0.35
+FOUND = 1.4
 
 _LOOKS = str.maketrans(dict(zip(CYRILLIC.lower() + GREEK.lower(), CYRILLIC_AS.lower() + GREEK_AS.lower())) | {c: None for c in "​‌‍⁠﻿­"})
 _FOREIGN = re.compile("[Ͱ-ԯ​-‍⁠﻿­]")
@@ -188,6 +188,12 @@ def fit(examples: list[set[str]], grades: np.ndarray, cost: np.ndarray, times: n
     return Ordinal({n: float(x) for n, x in zip(names, w) if abs(x) > 0.01}, (float(theta[0]), float(theta[1])))
 
 
+def _surely(n: int, of: int, base: float) -> float:
+    """How far a share is above the usual one, in about standard deviations; 0 if it isn't."""
+    p = min(max(n / of, 1e-6), 1 - 1e-6)
+    return math.sqrt(2 * of * (p * math.log(p / base) + (1 - p) * math.log((1 - p) / (1 - base)))) if p > base else 0.0
+
+
 def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
     """The regression from texts and their verdicts (0 or 1)."""
     grade = [0 if not sum(v) else 2 if all(v) else 1 for _, v in reviewed]
@@ -219,8 +225,8 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
     def scores(weights: dict[str, float]) -> np.ndarray:
         return np.array([sum(map(weights.get, e, iter(lambda: 0.0, 1))) / n for e, n in zip(kept, length)])
 
-    def fitted(docs: list[int], z: np.ndarray | None, limit: float) -> Ordinal:
-        """A fit on some documents; ``z`` scores their passages by a fit on the others."""
+    def fitted(docs: list[int], z: np.ndarray, limit: float, more: frozenset[int] = frozenset()) -> Ordinal:
+        """A fit on some documents; ``z`` scores their passages by a fit on the others, ``more`` are passages that count."""
         own_with, own_without = np.zeros(len(kept)), np.zeros(len(kept))
         top = np.zeros(len(kept), dtype=np.int64)
         for d in docs:
@@ -230,9 +236,10 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
                 # a document without any suspicious passage was probably judged wrongly
                 best = max(own, key=lambda i: z[i])
                 for i in own:
-                    if sure[i] or (i == best and z[i] > limit) or z[i] > limit + 1:
+                    # others of the document may only stand beside it, as in its copies
+                    if sure[i] or i in more or (i == best and z[i] > limit):
                         top[i] = max(top[i], g)
-        top[(own_without > 2) & (own_with < 1.5 * own_without)] = 0
+        top[own_with < 3 * own_without] = 0
         # what mostly stands in documents found abusive is no example of grade 0
         use = np.flatnonzero((top > 0) | ((own_without > 0) & ~sure))
         grades = top[use]
@@ -246,20 +253,39 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
 
     half = [zlib.crc32(text.encode("utf-8", "replace")) >> 7 & 1 for text, _ in reviewed]
     folds = [[d for d in range(len(documents)) if half[d] == k] for k in (0, 1)]
-    z, limit = [], 0.8
+    z, limit = [], 3.3
     for docs in folds:
-        # to begin with: how much more often features occur in documents found abusive
+        # to begin with: how surely features are met more often in documents found abusive, by the three surest
         pos, neg = Counter(), Counter()
         for d in docs:
             (pos if grade[d] else neg).update({f for i in documents[d] for f in kept[i]})
-        n_pos, n_neg = sum(bool(grade[d]) for d in docs), sum(not grade[d] for d in docs)
-        odds = {f: math.log((n + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1)) for f, n in pos.items() if n >= 2}
-        z.append(np.array([sum(odds.get(f, -0.3) for f in e) / math.sqrt(len(e)) for e in kept]))
+        surely = {f: _surely(n, n + neg[f], base) for f, n in pos.items() if n >= 2}
+        z.append(np.array([sum(sorted((surely.get(f, 0.0) for f in e), reverse=True)[:3]) / 3 for e in kept]))
     for _ in range(ROUNDS):
         # passages of either half are chosen by the other, so that none vouches for itself
         models = [fitted(folds[k], z[1 - k], limit) for k in (0, 1)]
-        z, limit = [scores(m.weights) - m.thresholds[0] for m in models], 0.5
-    return fitted(list(range(len(documents))), (z[0] + z[1]) / 2, limit)
+        z, limit = [scores(m.weights) - m.thresholds[0] for m in models], -0.3
+    everything, more = list(range(len(documents))), frozenset()
+    z_all = (z[0] + z[1]) / 2
+    for _ in range(ROUNDS):
+        model = fitted(everything, z_all, limit, more)
+        now = scores(model.weights) - model.thresholds[0]
+        # what else do documents found abusive share? Copies of one document, which have one worst passage, count once
+        worst = {d: max(documents[d], key=lambda i: now[i]) for d in everything if grade[d] and documents[d]}
+        one = {i: d for d, i in worst.items()}
+        pos = Counter(f for d in one.values() for f in {f for i in documents[d] for f in kept[i]})
+        neg = Counter(f for d in everything if not grade[d] for f in {f for i in documents[d] for f in kept[i] if f in pos})
+        share = max(0.02, len(one) / max(1, len(one) + sum(not g for g in grade)))
+        surely = {f: _surely(n, n + neg[f], share) for f, n in pos.items() if n >= 4}
+        found = set()
+        for d in worst:
+            for i in documents[d]:
+                if sum(sorted((surely.get(f, 0.0) for f in kept[i]), reverse=True)[:3]) / 3 > 4.5:
+                    found.add(i)
+        if not found - more:
+            break
+        more |= found
+    return model
 
 
 def reviewed_texts(documents: DataFrame, labels: DataFrame) -> list[tuple[str, list[int]]]:
