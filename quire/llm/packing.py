@@ -33,9 +33,9 @@ from quire.llm import bpe
 from quire.session import cut
 
 #: Sizes above the capacity divided by this are large.
-LARGE = 8
+LARGE = 6
 #: Groups of the linear grouping.
-GROUPS = 48
+GROUPS = 300
 #: Documents of one size that are ranked in one task, about.
 RANKED = 50_000
 
