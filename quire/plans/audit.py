@@ -245,11 +245,11 @@ def top_formats(spark, sf):
     return by.orderBy(F.desc("n"), "family", "size").limit(30)
 
 
-@query(f"""WITH {W}, v AS (SELECT doc_id, page, page + (length(doc_id) % 3) + CASE WHEN seq % 11 = 0 THEN 7 ELSE 4 END AS printed FROM w WHERE seq < 22), o AS (SELECT doc_id, printed - page AS shift, count(*) AS votes FROM v GROUP BY ALL)
+@query(f"""WITH {W}, v AS (SELECT doc_id, page, page + (length(doc_id) % 3) + CASE WHEN seq % 11 = 0 THEN 7 ELSE 4 END AS printed FROM w), o AS (SELECT doc_id, printed - page AS shift, count(*) AS votes FROM v GROUP BY ALL)
 SELECT doc_id, CAST(shift AS INT) AS shift, votes FROM o WHERE votes >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, shift) = 1""")
 def folio_offset_vote(spark, sf):
     """The most common difference of printed and physical page numbers, at least two votes; folios are made from keys."""
-    w = words(spark, sf).where(F.col("seq") < 22)
+    w = words(spark, sf)
     printed = F.col("page") + F.length("doc_id") % 3 + F.when(F.col("seq") % 11 == 0, 7).otherwise(4)
     o = w.groupBy("doc_id", (printed - F.col("page")).cast("int").alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= 2)
     return o.groupBy("doc_id").agg(F.max_by(F.struct("shift", "votes"), F.struct("votes", -F.col("shift"))).alias("m")).select("doc_id", "m.*")

@@ -53,10 +53,10 @@ def matter_kinds(spark, sf):
     return blocks(spark, sf).where((F.col("kind") == "heading") & F.col("text").isNotNull()).select("block_id", flow.matter_kind(F.col("text")).alias("matter"))
 
 
-@query(f"""WITH {T}, p AS (SELECT doc_id, page, lower(string_agg(text, ' ' ORDER BY ord, block_id)) AS x FROM t WHERE text IS NOT NULL AND page <= 40 GROUP BY 1, 2)
+@query(f"""WITH {T}, p AS (SELECT doc_id, page, lower(string_agg(text, ' ' ORDER BY ord, block_id)) AS x FROM t WHERE text IS NOT NULL GROUP BY 1, 2)
 SELECT doc_id, page, CASE WHEN regexp_matches(x, 'isbn|copyright|©|all rights reserved') THEN 'copyright' WHEN regexp_matches(x, '^\\s*(for|to|für|pour|para|à) [^.]{{1,60}}$') THEN 'dedication' WHEN regexp_matches(x, '[—–]\\s*\\pL[^.]{{2,40}}$') AND regexp_matches(x, '[“"«]') THEN 'epigraph' WHEN regexp_matches(x, 'series editor|other titles|in this series') THEN 'series' WHEN regexp_matches(x, '^\\s*(contents|inhalt|sommaire|índice)') THEN 'contents' WHEN length(x) < 120 THEN 'title' ELSE 'other' END AS class FROM p""")
 def front_page_class(spark, sf):
-    b = blocks(spark, sf).where(F.col("text").isNotNull() & (F.col("page") <= 40))
+    b = blocks(spark, sf).where(F.col("text").isNotNull())
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block_id", "text"))), lambda s: s["text"]), " ")
     return b.groupBy("doc_id", "page").agg(text.alias("x")).select("doc_id", "page", flow.page_class(F.col("x")).alias("class"))
 

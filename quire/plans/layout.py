@@ -27,15 +27,15 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regions(w: DataFrame) -> DataFrame:
-    """Boxes around the even words of each third of an inch: the blocks that other words fall into or stick out of."""
-    even = w.where((F.col("seq") % 2 == 0) & (F.col("x1") > F.col("x0"))).withColumn("k", F.floor(F.col("y0") / 24))
-    by = even.groupBy("doc_id", "page", "k").agg(*B.union_aggregates(), F.count(F.lit(1)).alias("n"))
-    return by.withColumn("block_key", F.col("page").cast("bigint") * 1000 + F.col("k"))
+    """Boxes around the words of each third of an inch of a page, without their right fifth: the blocks that words fall
+    into or stick out of, as the tables have no boxes of blocks."""
+    by = w.where(F.col("x1") > F.col("x0")).withColumn("k", F.floor(F.col("y0") / 24)).groupBy("doc_id", "page", "k").agg(*B.union_aggregates(), F.count(F.lit(1)).alias("n"))
+    return by.withColumn("x1", F.col("x0") + 0.8 * (F.col("x1") - F.col("x0"))).withColumn("block_key", F.col("page").cast("bigint") * 1000 + F.col("k"))
 
 
 W = "w AS (SELECT * FROM words QUALIFY row_number() OVER (PARTITION BY word_id ORDER BY loaded_at DESC NULLS LAST, doc_id DESC, page DESC, seq DESC) = 1)"
 T = "t AS (SELECT * FROM text_blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
-REGIONS = W + ", r0 AS (SELECT doc_id, page, CAST(floor(y0 / 24) AS BIGINT) AS k, * EXCLUDE (doc_id, page) FROM w WHERE seq % 2 = 0 AND x1 > x0), r AS (SELECT doc_id, page, k, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(page AS BIGINT) * 1000 + k AS block_key FROM r0 GROUP BY doc_id, page, k)"
+REGIONS = W + ", r0 AS (SELECT doc_id, page, CAST(floor(y0 / 24) AS BIGINT) AS k, * EXCLUDE (doc_id, page) FROM w WHERE x1 > x0), r AS (SELECT doc_id, page, k, min(x0) AS x0, min(y0) AS y0, min(x0) + 0.8 * (max(x1) - min(x0)) AS x1, max(y1) AS y1, CAST(page AS BIGINT) * 1000 + k AS block_key FROM r0 GROUP BY doc_id, page, k)"
 SHARE = "greatest(least(w.x1, r.x1) - greatest(w.x0, r.x0), 0) * greatest(least(w.y1, r.y1) - greatest(w.y0, r.y0), 0) / ((w.x1 - w.x0) * (w.y1 - w.y0))"
 
 
@@ -128,14 +128,17 @@ def orphan_words_nearest(spark, sf):
     return spatial.nearest_block(orphans, r).withColumn("gap", F.round("gap", 4))
 
 
-@query(f"""WITH {REGIONS}, n AS (SELECT word_id AS new_key, doc_id, page, x0, y0, x1, y1 FROM w WHERE seq % 7 = 3),
+@query(f"""WITH {REGIONS}, n AS (SELECT word_id AS new_key, doc_id, page, x0, y0, x1, y1 FROM w WHERE (x1 - x0) * (y1 - y0) > 0 AND NOT EXISTS (SELECT 1 FROM r WHERE w.doc_id = r.doc_id AND w.page = r.page AND {SHARE} >= 0.5)),
 s AS (SELECT new_key, arg_max(r.block_key, struct_pack(y := r.y1, k := r.block_key)) AS same FROM n JOIN r ON n.doc_id = r.doc_id AND n.page = r.page WHERE r.y1 <= n.y0 AND r.x0 < n.x1 AND r.x1 > n.x0 GROUP BY 1),
 l AS (SELECT doc_id, page, arg_max(block_key, struct_pack(y := y1, k := block_key)) AS k FROM r GROUP BY 1, 2),
 b AS (SELECT new_key, arg_max(l.k, l.page) AS before FROM n JOIN l ON n.doc_id = l.doc_id AND l.page < n.page GROUP BY 1)
 SELECT n.new_key, coalesce(same, before) AS block_key FROM n LEFT JOIN s USING (new_key) LEFT JOIN b USING (new_key)""")
 def orphan_anchor_asof(spark, sf):
+    """Words without a block, and the block that each would follow."""
     w = words(spark, sf)
-    return spatial.anchor_block(w.where(F.col("seq") % 7 == 3).withColumnRenamed("word_id", "new_key"), regions(w))
+    r = regions(w)
+    full = w.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    return spatial.anchor_block(spatial.unheld(full.withColumnRenamed("word_id", "thing_key"), r).withColumnRenamed("thing_key", "new_key"), r)
 
 
 @query(f"""WITH {REGIONS}, f AS (SELECT doc_id, page, CAST(page AS BIGINT) * 1000 + k // 4 AS frame_key, min(x0) - 1 AS x0, min(y0) - 1 AS y0, max(x1) - 20 AS x1, max(y1) + 1 AS y1 FROM r GROUP BY doc_id, page, k // 4)
