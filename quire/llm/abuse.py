@@ -36,7 +36,7 @@ SEEN = 2
 #: Rounds of choosing examples and fitting, steps of one fit, weight of the squared weights against the examples.
 ROUNDS, STEPS, RIDGE = 3, 200, 0.3
 #: Expected severity from which a document is found.
-FOUND = 1.4
+FOUND = 0.6
 
 _LOOKS = str.maketrans(dict(zip(CYRILLIC.lower() + GREEK.lower(), CYRILLIC_AS.lower() + GREEK_AS.lower())) | {c: None for c in "​‌‍⁠﻿­"})
 _FOREIGN = re.compile("[Ͱ-ԯ​-‍⁠﻿­]")
@@ -280,7 +280,7 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
         found = set()
         for d in worst:
             for i in documents[d]:
-                if sum(sorted((surely.get(f, 0.0) for f in kept[i]), reverse=True)[:3]) / 3 > 4.5:
+                if sum(sorted((surely.get(f, 0.0) for f in kept[i]), reverse=True)[:3]) / 3 > 6.5 and not without[i]:
                     found.add(i)
         if not found - more:
             break
