@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import even
+
 #: Node kind of the root, by record kind.
 ROOTS = {"toc": "toc_entry", "bibl": "bibl", "export_check": "export_check"}
 #: Repeated fields of a node kind, with the kind of their elements.
@@ -207,7 +209,7 @@ def record_triples(records: DataFrame, fields: bool = True) -> DataFrame:
                     out = [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return latest_readable(records).mapInArrow(run, _TRIPLES)
+    return even(latest_readable(records), "rec_id").mapInArrow(run, _TRIPLES)
 
 
 def nodes(records: DataFrame) -> DataFrame:

@@ -30,3 +30,11 @@ def spread(df: DataFrame) -> DataFrame:
     they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def even(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows by a hash of their keys, in partitions for work that is long for each row: at least three for each
+    core, which are not merged for being small in bytes."""
+    spark = df.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
