@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, even
 from quire.sources.tables import latest
 
 # Formal given names and the short forms of each.
@@ -348,7 +348,7 @@ def _bodies(m: DataFrame) -> DataFrame:
 def entities(names: DataFrame) -> DataFrame:
     """``name_id, entity``: who or what each mention means."""
     n = latest(names, ["name_id"], ["seen_at"], ["surname", "given", "org", "contributor"])
-    m = cut(n.mapInArrow(_mentions, "name_id bigint, kind string, name string, initial string, further array<string>, second string"))
+    m = cut(even(n, "name_id").mapInArrow(_mentions, "name_id bigint, kind string, name string, initial string, further array<string>, second string"))
     return _people(m).unionByName(_bodies(m))
 
 
