@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
+from quire.operators import contents
 from quire.operators import multisets as M
 from quire.operators import order as O
-from quire.plans.layout import T, W, blocks, words
+from quire.plans.layout import T, W, blocks, runs, words
 from quire.plans.registry import query
 from quire.sources.tables import table
 
@@ -99,7 +100,8 @@ e AS (SELECT rec_id, lower(regexp_replace(json_extract_string(payload, '$.title[
 h AS (SELECT block_id, page, lower(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) AS k FROM t WHERE kind = 'heading' AND text IS NOT NULL)
 SELECT e.rec_id, h.block_id FROM e JOIN h ON e.k = h.k AND h.page BETWEEN e.page - 100 AND e.page + 200 WHERE e.k <> ''""")
 def contents_heading_join(spark, sf):
-    """Contents entries and headings of the same letters within a range of pages."""
+    """Root entries and headings of any document with the same letters within a range of pages, as the SQL has it; the
+    headings that entries name are in ``contents_headings``."""
     r = table(spark, sf, "raw_records").where((F.col("kind") == "toc") & F.try_parse_json("payload").isNotNull())
     r = r.groupBy("rec_id").agg(F.max_by("payload", F.struct("received_at", "payload")).alias("payload"))
     e = r.select("rec_id", S.alnum_key(F.get_json_object("payload", "$.title[0].text")).alias("k"), F.get_json_object("payload", "$.page").try_cast("int").alias("p")).where(F.col("k") != "")
@@ -107,6 +109,16 @@ def contents_heading_join(spark, sf):
     return e.join(h, "k").where(F.col("page").between(F.col("p") - 100, F.col("p") + 200)).select("rec_id", "block_id")
 
 
+@query()
+def contents_headings(spark, sf):
+    """The heading that each contents entry names: a close title on its pages of its document, else the same title after
+    the cursor."""
+    b = blocks(spark, sf)
+    joined = runs(spark, sf).groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_ix", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("joined"))
+    b = b.join(joined, "block_id", "left").withColumn("text", F.coalesce("text", "joined"))
+    return contents.headings_named(table(spark, sf, "raw_records"), b)
+
+
 @query("""WITH r AS (SELECT * FROM raw_records WHERE kind = 'bibl' AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY received_at DESC, payload DESC) = 1),
 f AS (SELECT rec_id, lower(json_extract_string(payload, '$.authors[0].surname')) AS s FROM r), n AS (SELECT DISTINCT name_id, lower(surname) AS s FROM bib_names WHERE surname <> '')
 SELECT n.name_id, count(f.rec_id) AS refs, min(f.rec_id) AS first_ref FROM n LEFT JOIN f USING (s) GROUP BY 1""")
