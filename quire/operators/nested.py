@@ -224,3 +224,12 @@ def flat_table(found: DataFrame, node_kind: str, columns: list[str]) -> DataFram
         .groupBy("rec_id", "node_path", "parent_path", "ordinal")
         .agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in columns])
     )
+
+
+def reasons(found: DataFrame) -> DataFrame:
+    """``target, reason, n``: how many dropped nodes of the exports have each reason, ``none`` where they have none."""
+    value = lambda c: F.max(F.when(F.col("field") == c, F.col("value"))).alias(c)
+    n = found.where(F.col("node_kind").isin("export_check", "dropped")).groupBy("rec_id", "node_kind", "node_path").agg(value("target"), value("reason"))
+    root = F.max(F.when(F.col("node_kind") == "export_check", F.col("target"))).alias("target")
+    own = F.collect_list(F.when(F.col("node_kind") == "dropped", F.coalesce("reason", F.lit("none")))).alias("own")
+    return n.groupBy("rec_id").agg(root, own).select("target", F.explode("own").alias("reason")).groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars as S
 from quire.operators import contents
 from quire.operators import multisets as M
+from quire.operators import nested
 from quire.operators import order as O
 from quire.plans.layout import T, W, blocks, runs, words
 from quire.plans.registry import query
@@ -173,7 +174,8 @@ _CHECK = "r AS (SELECT * FROM raw_records WHERE kind = 'export_check' AND json_v
 
 @query(f"""WITH {_CHECK}, d AS (SELECT json_extract_string(payload, '$.target') AS target, unnest(json_extract(payload, '$.dropped[*]')) AS x FROM r) SELECT target, coalesce(json_extract_string(x, '$.reason'), 'none') AS reason, count(*) AS n FROM d WHERE json_type(x) = 'OBJECT' GROUP BY ALL""")
 def drop_reasons(spark, sf):
-    """Why blocks were dropped, by target; only where the ledger is an array as it should be."""
+    """Why blocks were dropped, by target; only where the ledger is an array as it should be, as the SQL has it. All
+    ledgers are in ``dropped_by_reason``."""
     r = table(spark, sf, "raw_records").where((F.col("kind") == "export_check") & F.try_parse_json("payload").isNotNull())
     r = r.groupBy("rec_id").agg(F.max_by("payload", F.struct("received_at", "payload")).alias("payload"))
     v = F.try_parse_json("payload")
@@ -182,6 +184,12 @@ def drop_reasons(spark, sf):
     return o.groupBy("target", F.coalesce(F.try_variant_get("x", "$.reason", "string"), F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def dropped_by_reason(spark, sf):
+    """Why blocks were dropped, by target: all dropped nodes of ``p5_found``, lone ones and those in JSON text too."""
+    return nested.reasons(nested.record_triples(table(spark, sf, "raw_records")))
+
+
 @query(f"""WITH {_CHECK}, m AS (SELECT json_extract_string(payload, '$.target') AS target, CAST(json_extract_string(payload, '$.blocks') AS BIGINT) AS blocks, CASE json_type(payload, '$.dropped') WHEN 'ARRAY' THEN json_array_length(payload, '$.dropped') WHEN 'VARCHAR' THEN json_array_length(CAST(json_extract_string(payload, '$.dropped') AS JSON)) ELSE 0 END AS dropped, CASE json_type(payload, '$.missing') WHEN 'ARRAY' THEN json_array_length(payload, '$.missing') WHEN 'VARCHAR' THEN json_array_length(CAST(json_extract_string(payload, '$.missing') AS JSON)) ELSE 0 END AS missing FROM r),
 s AS (SELECT *, CASE WHEN missing > 0 THEN 'error' WHEN dropped > 3 THEN 'warn' WHEN dropped > 0 THEN 'info' ELSE 'ok' END AS status FROM m)
 SELECT target, status, count(*) AS n, CAST(sum(blocks) AS BIGINT) AS blocks, max(CASE status WHEN 'error' THEN 3 WHEN 'warn' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS worst FROM s GROUP BY ALL""")

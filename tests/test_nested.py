@@ -59,3 +59,10 @@ def test_pivot(spark):
     t = spark.createDataFrame([(1, "export_check", "d", '{"dropped": [{"page": 3, "text": "a"}, {"page": null}]}', None, "", 0)], SCHEMA)
     got = N.flat_table(N.record_triples(t), "dropped", ["page", "text"]).orderBy("ordinal").collect()
     assert [(r.node_path, r.page, r.text) for r in got] == [("$.dropped.0", "3", "a"), ("$.dropped.1", None, None)]
+
+
+def test_reasons_of_every_shape(spark):
+    one = {"reason": "watermark"}
+    ledgers = [[one, {"reason": None}, None, "x"], one, json.dumps([one, one]), None, []]
+    t = spark.createDataFrame([(i, "export_check", "d", json.dumps({"target": "xml", "dropped": d}), None, "", 0) for i, d in enumerate(ledgers)] + [(9, "export_check", "d", json.dumps({"dropped": one}), None, "", 0)], SCHEMA)
+    assert {tuple(x) for x in N.reasons(N.record_triples(t)).collect()} == {("xml", "watermark", 4), ("xml", "none", 2), (None, "watermark", 1)}
