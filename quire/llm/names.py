@@ -3,8 +3,8 @@
 Every name is rewritten into its canonical forms: fields that were swapped or run together are put right, titles and
 legal forms go, particles, accents and letter case are folded, nicknames become the formal names they may stand for,
 initials stand for any name they begin, tokens of a body come in one order and as the beginnings that its
-abbreviations keep, or as its acronym. Forms are exploded and joined on equality. Where a form fits several names, the
-rarity of the rewriting decides: a spelling at one edit's distance belongs to the most frequent one it can come from,
+abbreviations keep, or as its acronym; a person's words in either order. Forms are exploded and joined on equality. Of
+the orders the one that most mentions have counts. Where a form fits several names, the rarity of the rewriting decides: a spelling at one edit's distance belongs to the most frequent one it can come from,
 a nickname or initial to the only formal name of that surname it fits, an acronym to the only body of that place.
 
 Defined results: a mention without any letter in its fields is linked to nothing; a repeated delivery counts once
@@ -266,13 +266,46 @@ def _fields(s: str, g: list[str], bold: bool) -> tuple[str, str, str, list[str],
     return ("p", name, *_given(names, bold)) if name else None
 
 
-_SCHEMA = pa.schema([("name_id", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
+def _order_free(tokens: list[str]) -> list[str]:
+    """The words of a name without particles; none if an initial shows which of them are given."""
+    if any(_initials(t) for t in tokens):
+        return []
+    return [t for t in tokens if not (plain(t).strip("-.'’") in PARTICLES or t.isupper() and plain(t) in TITLES | SUFFIXES)]
+
+
+def readings(surname: str | None, given: list | None, org: str | None, contributor: str | None) -> list[tuple[str, str, str, list[str], str]]:
+    """What a mention may mean: first as ``mention`` reads it, then, for a person, its words in the other orders and its
+    fields exchanged. A comma or an initial settles the order."""
+    first = mention(surname, given, org, contributor)
+    if first is None or first[0] != "p":
+        return [first] if first else []
+    s, o, c = ((x or "").strip() for x in (surname, org, contributor))
+    g = [x.strip() for x in given or [] if x and x.strip()]
+    text = o or c or ("" if g else s)
+    ways = []
+    if text and not (s and g):
+        if "," not in text:
+            w = _order_free([w for w in _words(text) if plain(w.strip(".")) not in TITLES])
+            ways = [(w[1:], w[:1]), (w[:-1], w[-1:]), (w[:1], w[1:]), (w[-1:], w[:-1])] if len(w) > 1 else []
+    else:
+        own, other = [w for w in _words(s) if plain(w.strip(".")) not in TITLES], [w for x in g for w in _words(x)]
+        if _order_free(own) and _order_free(other):
+            ways = [(_order_free(own), _order_free(other)), (_order_free(other), _order_free(own))]
+    found = [first]
+    for name, names in ways:
+        way = ("p", _surname(name), *_given(names))
+        if way[1] and way not in found:
+            found.append(way)
+    return found
+
+
+_SCHEMA = pa.schema([("name_id", pa.int64()), ("reading", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(n, *m) for n, *x in zip(*(c.to_pylist() for c in b.columns)) if n is not None and (m := mention(*x))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
+        rows = [(n, i, *m) for n, *x in zip(*(c.to_pylist() for c in b.columns)) if n is not None for i, m in enumerate(readings(*x))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _SCHEMA)], schema=_SCHEMA)
 
 
 def star(words: DataFrame) -> DataFrame:
@@ -301,6 +334,27 @@ def star(words: DataFrame) -> DataFrame:
     return cut(words.select("key", "word").join(best, ["key", "word"], "left").select("key", "word", F.coalesce("canon", "word").alias("canon")))
 
 
+#: What a mention counts for the form it is read as at first, and for its others.
+FIRST, OTHER = 100, 1
+
+
+def _settled(m: DataFrame) -> DataFrame:
+    """One reading of each mention: of several the form that most mentions have, those of a bare initial included; ties
+    by the form, so that all mentions of the same forms take the same. Misspelt words count as what they come from."""
+    p = m.where(F.col("kind") == "p").select("name_id", "reading", "name", "initial", F.explode_outer("further").alias("g"))
+    words = p.select(F.explode(F.array_compact(F.array("name", "g"))).alias("word")).groupBy(F.lit("").alias("key"), "word").agg(F.count(F.lit(1)).alias("n"))
+    canon = star(words).select("word", "canon")
+    p = p.join(canon.select(F.col("word").alias("name"), F.col("canon").alias("s")), "name").join(canon.select(F.col("word").alias("g"), F.col("canon").alias("c")), "g", "left")
+    p = cut(p.select("name_id", "reading", "s", "initial", "c").distinct())
+    counts = p.where(F.col("c").isNotNull()).groupBy("s", "c").agg(F.sum(F.when(F.col("reading") == 0, FIRST).otherwise(OTHER)).alias("n"))
+    bare = p.where(F.col("c").isNull() & (F.col("reading") == 0)).groupBy("s", "initial").agg((F.count(F.lit(1)) * FIRST).alias("b"))
+    open_ = p.join(p.where(F.col("reading") > 0).select("name_id").distinct(), "name_id", "left_semi")
+    score = F.coalesce("n", F.lit(0)) + F.coalesce("b", F.lit(0))
+    best = open_.join(counts, ["s", "c"], "left").withColumn("initial", F.coalesce(F.substring("c", 1, 1), "initial")).join(bare, ["s", "initial"], "left")
+    best = best.groupBy("name_id").agg(F.max_by("reading", F.struct(score, F.col("s"), F.col("c"))).alias("best"))
+    return m.join(best, "name_id", "left").where(F.col("reading") == F.coalesce("best", F.lit(0))).drop("reading", "best")
+
+
 def _people(m: DataFrame) -> DataFrame:
     """``name_id, entity`` of the persons."""
     p = m.where(F.col("kind") == "p").select("name_id", "name", "initial", "second", F.explode_outer("further").alias("g")).withColumn("i", F.coalesce(F.substring("g", 1, 1), "initial"))
@@ -348,7 +402,8 @@ def _bodies(m: DataFrame) -> DataFrame:
 def entities(names: DataFrame) -> DataFrame:
     """``name_id, entity``: who or what each mention means."""
     n = latest(names, ["name_id"], ["seen_at"], ["surname", "given", "org", "contributor"])
-    m = cut(even(n, "name_id").mapInArrow(_mentions, "name_id bigint, kind string, name string, initial string, further array<string>, second string"))
+    m = cut(even(n, "name_id").mapInArrow(_mentions, "name_id bigint, reading int, kind string, name string, initial string, further array<string>, second string"))
+    m = cut(_settled(m))
     return _people(m).unionByName(_bodies(m))
 
 

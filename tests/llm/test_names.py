@@ -34,6 +34,15 @@ def test_people(spark):
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n)}
 
 
+def test_token_order_of_unlisted_names(spark):
+    same = [(None, None, None, "Yuki Tanaka"), (None, None, None, "Tanaka Yuki"), ("Tanaka", ["Yuki"], "", None), ("Yuki", ["Tanaka"], None, None), (None, None, "Tanaka, Yuki", None), (None, None, None, "Tanaka, Y."), (None, None, None, "Tanakka Yuki")]
+    two = [(None, None, None, "Ngozi Okafor"), (None, None, None, "Okafor Ngozi")]
+    other = [(None, None, None, "Haruto Tanaka"), (None, None, None, "Yuki Sato")]
+    got = linked(spark, list(enumerate(same + two + other)))
+    n = len(same)
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n)} | {(n, n + 1)}
+
+
 def test_particles_accents_and_hyphens(spark):
     rows = [("de la Hørmuler", ["Samira"], "", None), (None, None, None, "Samira Hoermuler"), ("Hormuler", ["Sam", "de la"], None, None), (None, None, None, "Hørmuler Ruiz, Samira"), ("Hormuler-Ruiz", ["S."], "", None)]
     assert linked(spark, list(enumerate(rows))) == {(0, 1), (0, 2), (1, 2), (3, 4)}
