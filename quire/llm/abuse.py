@@ -51,6 +51,16 @@ _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
 #: Words of code, logs and chats around a passage, which say nothing about it.
 _FRAME = set("name dtype object comment user msg print todo raise valueerror typeerror runtimeerror out in none true false div class alert note span br error warning root line file cell step epoch loss assert def return import".split())
 _MASKED = re.compile(r"[*#]")
+#: Letters and marks of scripts written without spaces, by how many are taken together: Han and kana; Thai, Lao, Burmese, Khmer.
+_SPACELESS = {2: "\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af", 3: "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3"}
+_RUN = {n: re.compile(f"[{c}]+") for n, c in _SPACELESS.items()}
+_ANY_RUN = re.compile(f"[{''.join(_SPACELESS.values())}]+")
+
+
+def _unleet(m: re.Match) -> str:
+    """A word with letters for its digits and signs; marks at its end are no letters."""
+    word = m.group().rstrip("!|")
+    return word.replace("!", "i").replace("|", "i").translate(_LEET) + m.group()[len(word) :]
 
 
 def normal(passage: str) -> str:
@@ -61,12 +71,24 @@ def normal(passage: str) -> str:
         if letters or not any("Ѐ" <= c <= "ԯ" for c in text):
             text = text.translate(_LOOKS)
     text = _SPELLED.sub(lambda m: re.sub(r"[_.\-*· ]", "", m.group()), text)
-    text = _LEETED.sub(lambda m: m.group().replace("!", "i").replace("|", "i").translate(_LEET), text)
+    text = _LEETED.sub(_unleet, text)
     return _LONG.sub(r"\1", text)
 
 
 def words(passage: str) -> list[str]:
-    return [w for w in _WORD.findall(normal(passage)) if w not in _FRAME]
+    """The words of a passage; of scripts without spaces, every few neighbouring letters as one."""
+    text = normal(passage)
+    if text.isascii() or not _ANY_RUN.search(text):
+        return [w for w in _WORD.findall(text) if w not in _FRAME]
+    found: list[str] = []
+    at = 0
+    for m in _ANY_RUN.finditer(text):
+        found += [w for w in _WORD.findall(text[at : m.start()]) if w not in _FRAME]
+        for n, pattern in _RUN.items():
+            for run in pattern.findall(m.group()):
+                found += [run[i : i + n] for i in range(max(1, len(run) - n + 1))]
+        at = m.end()
+    return found + [w for w in _WORD.findall(text[at:]) if w not in _FRAME]
 
 
 def features(found: list[str]) -> set[str]:
@@ -83,10 +105,8 @@ def lines(text: str) -> set[str]:
 
 def cut_line(line: str) -> list[str]:
     """The passages of a line: its sentences, cells and entries."""
-    if len(line) <= 8:
-        return []
     if "  " in line or "\t" in line or len(line) > 40:
-        return [p for p in _PASSAGE.split(line) if len(p) > 8]
+        return [p for p in _PASSAGE.split(line) if p]
     return [line]
 
 
@@ -121,7 +141,7 @@ class Ordinal:
         known = self.known.get(text)
         if known is None:
             found = words(text)
-            if len(found) < 2:
+            if not found:
                 known = 0.0
             else:
                 if "*" in text or "#" in text:
@@ -206,7 +226,7 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
         own = set()
         for p in passages(text):
             found = words(p)
-            if len(found) >= 2:
+            if found:
                 key = " ".join(found)
                 if key not in known:
                     known[key] = len(kept)
@@ -220,6 +240,8 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
     p = np.clip(with_ / np.maximum(with_ + without, 1), 1e-6, 1 - 1e-6)
     # so far from the usual share that chance can't explain it
     sure = (p >= 0.7) & ((with_ + without) * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))) > 12)
+    # words such as thanks or ok stand beside abuse in many documents: one alone is an example only where no longer passage is
+    alone = np.array([len(e) < 2 for e in kept], dtype=bool)
     length = [math.sqrt(max(1, sum(1 for f in e if " " not in f))) for e in kept]
 
     def scores(weights: dict[str, float]) -> np.ndarray:
@@ -228,20 +250,25 @@ def train(reviewed: list[tuple[str, list[int]]]) -> Ordinal:
     def fitted(docs: list[int], z: np.ndarray, limit: float, more: frozenset[int] = frozenset()) -> Ordinal:
         """A fit on some documents; ``z`` scores their passages by a fit on the others, ``more`` are passages that count."""
         own_with, own_without = np.zeros(len(kept)), np.zeros(len(kept))
-        top = np.zeros(len(kept), dtype=np.int64)
+        top, beside = np.zeros(len(kept), dtype=np.int64), np.zeros(len(kept))
         for d in docs:
             own, g = documents[d], grade[d]
             (own_with if g else own_without)[own] += 1
             if g and own:
                 # a document without any suspicious passage was probably judged wrongly
-                best = max(own, key=lambda i: z[i])
-                for i in own:
+                longer = [i for i in own if not alone[i]]
+                may = own
+                if any(sure[i] or i in more or z[i] > limit for i in longer):
+                    may = longer
+                    beside[own] += 1
+                best = max(may, key=lambda i: z[i])
+                for i in may:
                     # others of the document may only stand beside it, as in its copies
                     if sure[i] or i in more or (i == best and z[i] > limit):
                         top[i] = max(top[i], g)
-        top[own_with < 3 * own_without] = 0
+        top[(own_with < 3 * own_without) | (alone & (2 * beside >= own_with))] = 0
         # what mostly stands in documents found abusive is no example of grade 0
-        use = np.flatnonzero((top > 0) | ((own_without > 0) & ~sure))
+        use = np.flatnonzero((top > 0) | ((own_without > 0) & (~sure | alone)))
         grades = top[use]
         # what many documents without complaint hold is surely harmless, and what many found abusive hold is not
         times = np.clip(np.where(grades > 0, own_with[use], own_without[use]), 1, 40)

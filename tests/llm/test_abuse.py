@@ -53,3 +53,20 @@ def test_frame(spark):
     assert A.abusive(d, labels.limit(0)).count() == 0 and A.abusive(d.limit(0), labels).count() == 0
     rates = {r.source: (r.documents, r.found) for r in A.rates(d, labels).collect()}
     assert rates[None] == (1, 0) and rates["s"][0] == 203
+
+
+def test_scripts_without_spaces_and_short_passages():
+    assert A.words("你是傻逼 ok") == ["你是", "是傻", "傻逼", "ok"] and A.words("ไอ้โง่") and A.words("滚") == ["滚"]
+    assert A.passages("Moron!\nFuck you") == ["Fuck you", "Moron!"] and A.words("Moron!") == ["moron"]
+    r = random.Random(7)
+    plain = ["今天的数据已经处理完了", "请先安装这些软件包", "这张图显示了结果", "モデルを学習します", "Fine work", "The mill was sold", "thanks", "run it again"]
+    bad = ["你真是个傻逼废物", "傻逼", "滚开你这个傻逼废物吧", "Scumbag!", "Du Hund"]
+
+    def text(worst):
+        lines = [r.choice(plain) for _ in range(6)]
+        return "\n".join([*lines, worst] if worst else lines)
+
+    model = A.train([(text(b), [1]) for b in bad for _ in range(25)] + [(text(None), [0]) for _ in range(300)])
+    for worst in (*bad, "你也是傻逼废物"):
+        assert model.document("今天的数据\n" + worst) >= A.FOUND, worst
+    assert all(model.document(p) < A.FOUND for p in plain)
