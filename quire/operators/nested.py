@@ -1,7 +1,7 @@
 """Flattening of deeply nested JSON records into related tables (problem 5).
 
-Each record is parsed as a stream of events and comes out as triples of path, field and value with the position
-of every node. Paths are grouped by their nearest repeated ancestor: a group is a node kind, and a group's
+Each record is parsed by the native decoder, or as a stream of events where it nests too deep for that, and comes out
+as triples of path, field and value with the position of every node. Paths are grouped by their nearest repeated ancestor: a group is a node kind, and a group's
 triples pivot into one flat table whose rows carry ``node_path`` and ``parent_path``.
 
 Defined results: a null, empty or unreadable payload, one whose root is no object and one of an unknown kind have
