@@ -201,7 +201,8 @@ def _step(text: str) -> Iterator[tuple[str, str]]:
 
 
 def candidates(value: str) -> dict[str, tuple[str, int]]:
-    """Possible originals of a value: text -> (encoding meant, layers). Only those that cost less lead on to a next layer."""
+    """Possible originals of a value: text -> (encoding meant, layers). Only decodings as UTF-8 lead on to a
+    next layer."""
     found: dict[str, tuple[str, int]] = {}
     cost = garbling(value)
     layer = [(value, cost, "utf-8")]
@@ -224,9 +225,7 @@ def candidates(value: str) -> dict[str, tuple[str, int]]:
         if not layer:
             break
     best = sorted(found, key=lambda t: (garbling(t), found[t][1], t))
-    # those from a decoding as UTF-8, and the cheapest of the others
-    keep = [t for t in best if found[t][0] == "utf-8"] + [t for t in best if found[t][0] != "utf-8"][:60]
-    return {t: found[t] for t in keep}
+    return {t: found[t] for t in best}
 
 
 #: Letters of Latin next to those of Cyrillic or Greek.

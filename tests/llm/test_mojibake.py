@@ -29,3 +29,7 @@ def test_words(spark):
 
 def test_empty(spark):
     assert M.damaged_words(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_other_reading_is_kept():
+    assert sum(meant != "utf-8" for meant, _ in M.candidates("§4").values()) > 60
