@@ -8,10 +8,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the input of a plan for which its own partitions are wide enough for work that is long for each row.
+WIDE = 32 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset and the
+    master is local. A cluster without one is an error, as its machines share no temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
         spark.conf.set("spark.checkpoint.dir", shared)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -32,9 +39,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def even(df: DataFrame, *keys: str) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that a plan reads, as Spark estimates them; tables of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def even(df: DataFrame, *keys: str, rows: int | None = None, each: int = 1) -> DataFrame:
     """The same rows by a hash of their keys, in partitions for work that is long for each row: at least three for each
-    core, which are not merged for being small in bytes."""
-    spark = df.sparkSession
-    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    core, which are not merged for being small in bytes. Where the number of rows is given, a partition has about
+    ``each`` of them; else a plan over large tables keeps the partitions that Spark gives it, without a further shuffle."""
+    n = 3 * df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        return df.repartition(max(n, -(-rows // each)), *keys)
+    return df if input_bytes(df) >= n * WIDE else df.repartition(n, *keys)
