@@ -33,3 +33,20 @@ def test_empty(spark):
 
 def test_every_other_reading_is_kept():
     assert sum(meant != "utf-8" for meant, _ in M.candidates("§4").values()) > 60
+
+
+UNSEEN = {"Прокопьевск": ("cp1251", "cp1252"), "Шереметьево": ("koi8_r", "cp1251"), "Ξενοδοχείο": ("cp1253", "latin-1"), "Wörterbuchartikel": ("mac_roman", "cp1252"), "Kołobrzeg": ("cp1250", "cp1252"), "Größenwahn": ("utf-8", "cp1252")}
+
+
+def test_originals_that_occur_nowhere(spark, sf):
+    """Single letters need the letters of the table."""
+    words = spark.read.parquet(f"{sf}/words.parquet").select("word_id", "text", "font")
+    for rows, found in ((words, {-1, -2, -3, -4, -5, -6}), (words.limit(0), {-1, -2, -3, -6})):
+        more = spark.createDataFrame([(-i, w.encode(meant).decode(read), None) for i, (w, (meant, read)) in enumerate(UNSEEN.items(), 1)], "word_id bigint, text string, font string")
+        got = {r.word_id for r in M.damaged_words(rows.unionByName(more)).collect()}
+        assert found <= got
+
+
+def test_look_alikes_and_frequent_symbols_are_no_damage(spark):
+    rows = ["½"] * 30 + ["и"] * 20 + ["…"] * 20 + ["Gаuge", "FΙRSΤ", "ｆｏｒｍ", "Škoda", "Ångström", "год", "港"]
+    assert M.damaged_words(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "word_id bigint, text string, font string")).count() == 0
