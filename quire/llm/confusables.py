@@ -1,10 +1,12 @@
 """Text that looks the same and is made of other characters (problem 4).
 
-The script sets of a token's letters are intersected. An empty intersection is a mixed-script token and its
-look-alike letters go to the script that spells the whole token. A token whose letters all have doubles in another
-script is a whole-script confusable: the words beside it decide, and where they don't, the spelling that the tables
-use far more often. The remaining forms (width, ligatures, composition, spaces, invisible characters) are normalised
-by their character properties.
+The resolved script sets of a token's letters (their script extensions; Han and kana count as Japanese, Han and Hangul
+as Korean and so on) are intersected. An empty intersection is a mixed-script token, and its look-alike letters go to
+the script that spells the whole token. A token whose letters all have doubles in another script is a whole-script
+confusable: the words beside it decide, and where they don't, the spelling that the tables use far more often. The
+doubles come from the public Unicode confusables that Spark's own ICU library holds; without a session, from the fixed
+letters of Cyrillic and Greek below. The remaining forms (width, ligatures, composition, spaces, invisible characters)
+are normalised by their character properties.
 
 Defined results: null text is no case and stays null; empty text is in the consistent form; repeated deliveries
 count once; wrongly decoded words are left alone. Joiners between letters of scripts that spell with them, wide
@@ -16,27 +18,122 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import mojibake
 from quire.session import cut
+from quire.sources.tables import latest
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = "АВЕЅІЈКМНОРСТХУаеѕіјһорсхуԁԛԝѵӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTXYaesijhopcxydqwvl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανιορυϲϳγ"
 GREEK_AS = "ABEZHIKMNOPTYXaviopucjy"
+# Short names of scripts, and of those whose letters have much the same shapes.
+SCRIPTS = (
+    "Latn Grek Cyrl Armn Hebr Arab Syrc Thaa Nkoo Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh Thai Laoo Tibt Mymr Geor Hang Ethi Cher Cans Ogam Runr Khmr Mong Hira Kana Bopo Hani Yiii"
+    " Goth Copt Glag Tfng Lisu Vaii Bamu Osma Dsrt Limb Tale Bugi Bali Cham Java Sund Lepc Olck Saur Kali Rjng Tavt Mtei Cakm Adlm Elba Ital Perm Shaw Plrd Wara Medf"
+).split()
+SHAPES = "Latn Grek Cyrl Armn Cher Lisu Copt Tfng Dsrt Osma Ital Elba Wara Medf".split()
+#: Scripts that are written together, by the name of what they make up.
+_TOGETHER = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
+#: Scripts whose spelling needs joiners.
+_JOINING = set("Arab Syrc Nkoo Mong Deva Beng Guru Gujr Orya Taml Telu Knda Mlym Sinh".split())
 #: How much more often the other spelling must occur.
 TIMES = 8
 
-_AS_LATIN = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
-_FROM = {"C": dict(zip(CYRILLIC_AS, CYRILLIC)), "G": dict(zip(GREEK_AS, GREEK))}
+_PATTERNS = {s: regex.compile(rf"\p{{scx={s}}}") for s in SCRIPTS}
+_ANY = regex.compile(r"[\p{scx=Zyyy}\p{scx=Zinh}]")
+
+
+@lru_cache(50_000)
+def scripts(c: str) -> frozenset[str] | None:
+    """The resolved script set of a character; None stands for all scripts."""
+    if c.isascii():
+        return _LATIN if c.isalpha() else None
+    if _ANY.match(c):
+        return None
+    own = {s for s, p in _PATTERNS.items() if p.match(c)}
+    return frozenset(own.union(*(_TOGETHER[s] for s in own if s in _TOGETHER))) or None
+
+
+_LATIN = frozenset({"Latn"})
+
+
+def letter_scripts(c: str) -> frozenset[str] | None:
+    """The same of a letter; marks and others go with any script."""
+    return scripts(c) if c.isalpha() else None
+
+
+def resolved(token: str) -> frozenset[str] | None:
+    """The scripts that spell a whole token: none for a mixed one; None stands for all."""
+    left: frozenset[str] | None = None
+    for c in token:
+        own = letter_scripts(c)
+        if own is not None:
+            left = own if left is None else left & own
+    return left
+
+
+class Doubles:
+    """Letters that look the same in scripts of much the same shapes, from the prototype that each letter looks like."""
+
+    def __init__(self, prototypes: dict[str, str]):
+        self.prototypes = prototypes
+        self.by: dict[tuple[str, str, str], str] = {}
+        for c in sorted(prototypes, key=ord, reverse=True):
+            for s in scripts(c) or ():
+                self.by[prototypes[c], s, _case(c)] = c  # of several the first
+        self.memo: dict[tuple[str, str], str | None] = {}
+
+    def double(self, c: str, script: str) -> str | None:
+        """The letter of a script that looks like another, of the same case."""
+        if (c, script) not in self.memo:
+            p = self.prototypes.get(c)
+            self.memo[c, script] = None if p is None else next((d for k in (_case(c), *("" if _case(c) else "Ul")) if (d := self.by.get((p, script, k)))), None)
+        return self.memo[c, script]
+
+    def latin(self, c: str) -> str:
+        """The Latin double of a letter, or itself."""
+        own = scripts(c)
+        return c if own is None or "Latn" in own else self.double(c, "Latn") or c
+
+    def plain(self, c: str) -> str:
+        """The usual letter that a phonetic letter of Latin looks like, or itself."""
+        p = self.prototypes.get(c, c) if _PHONETIC.match(c) else c
+        return p if len(p) == 1 and p.isascii() and p.isalpha() else c
+
+
+_PHONETIC = re.compile("[\u0250-\u02af\u1d00-\u1dbf\ua720-\ua7ff\uab30-\uab6f]")
+
+
+def _case(c: str) -> str:
+    return "U" if c.isupper() else "l" if c.islower() else ""
+
+
+#: The fixed letters only.
+BASIC = Doubles({c: c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"} | dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)))
+
+
+def unicode_prototypes(spark: SparkSession) -> dict[str, str]:
+    """The prototypes of the public Unicode confusables, for letters of scripts of much the same shapes. Between Latin,
+    Cyrillic and Greek the fixed letters hold, which are the same in print and not only alike."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    builder = jvm.java.lang.Class.forName("com.ibm.icu.text.SpoofChecker$Builder").getDeclaredConstructor(gateway.new_array(jvm.java.lang.Class, 0))
+    checker = builder.newInstance(gateway.new_array(jvm.java.lang.Object, 0)).build()
+    letters = [c for c in map(chr, range(0x80, 0x1F000)) if unicodedata.category(c)[0] == "L" and not 0x2E80 <= ord(c) < 0xA000 and not 0xAC00 <= ord(c) < 0xFB00 and (scripts(c) or _LATIN) & set(SHAPES)]
+    # the checker takes capital I for small l; here case tells them apart
+    found = {c: p for c, p in zip(letters, checker.getSkeleton(0, "\n".join(letters)).split("\n")) if not scripts(c) or _PHONETIC.match(c) or not scripts(c) & {"Latn", "Cyrl", "Grek"}}
+    return {c: "I" if p == "l" and c.isupper() else p for c, p in found.items() if len(p) == 1} | BASIC.prototypes
+
+
 #: Arabic letters that Persian writes with other code points.
 _ARABIC = {"ي": "ی", "ى": "ی", "ك": "ک", "ە": "ه"}
 _HIDDEN = set("͏ᅟᅠ឴឵ㅤﾠ")
@@ -46,19 +143,8 @@ _WIDE = re.compile("[⺀-⿟぀-ヿ㐀-鿿豈-﫿가-힯]")
 _TAGS = {"<wide>", "<narrow>", "<small>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
-def _script(c: str) -> str:
-    o = ord(c)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00 or 0x250 <= o < 0x2B0:
-        return "L"
-    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return "G"
-    if 0x400 <= o < 0x530:
-        return "C"
-    if 0x600 <= o < 0x780:
-        return "A"
-    if 0x900 <= o < 0xE00:
-        return "I"
-    return "-"
+def _joined(c: str) -> bool:
+    return bool((scripts(c) or _LATIN) & _JOINING)
 
 
 def _joining(text: str, i: int) -> bool:
@@ -66,8 +152,8 @@ def _joining(text: str, i: int) -> bool:
     before, after = text[i - 1 : i], text[i + 1 : i + 2]
     if not before:
         return False
-    if _script(before) in "AI":
-        return not after or _script(after) in "AI" or not after.isalnum()
+    if _joined(before):
+        return not after or _joined(after) or not after.isalnum()
     return bool(after) and unicodedata.category(before) in ("So", "Sk", "Mn") and unicodedata.category(after) == "So"
 
 
@@ -110,77 +196,110 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def whole(token: str, script: str) -> bool:
+def whole(token: str, script: str, doubles: Doubles = BASIC) -> bool:
     """Whether each letter of a token of one script has a double in another."""
-    if script == "L":
-        return all(c in _FROM["C"] for c in token) or all(c in _FROM["G"] for c in token)
-    return all(c in _AS_LATIN for c in token)
+    if script == "Latn":
+        return any(all(doubles.double(c, s) for c in token) for s in ("Cyrl", "Grek"))
+    return all(doubles.latin(c) != c for c in token)
 
 
-def skeleton(token: str) -> str:
+def skeleton(token: str, doubles: Doubles = BASIC) -> str:
     """One spelling for all that look like it."""
-    return "".join(_AS_LATIN.get(c, _ARABIC.get(c, c)) for c in token if c not in _JOINERS)
+    return "".join(_ARABIC.get(c, doubles.latin(c)) for c in token if c not in _JOINERS)
 
 
-def _one_script(token: str, scripts: set[str]) -> str | None:
+def _one_script(token: str, doubles: Doubles) -> str | None:
     """A mixed token in the script that can spell all of it; None if it is no mixture of doubles."""
-    if "L" in scripts:
-        foreign = [c for c in token if _script(c) in "CG"]
-        if scripts <= {"L", "G"} and not any(c in _AS_LATIN for c in foreign):
+    present = Counter(min(own) for c in token if (own := letter_scripts(c)))
+    if "Latn" in present:
+        foreign = [c for c in token if (own := letter_scripts(c)) and "Latn" not in own]
+        if set(present) == {"Latn", "Grek"} and not any(doubles.latin(c) != c for c in foreign):
             return None  # such as a unit with a Greek sign
-        if all(c in _AS_LATIN for c in foreign):
-            return "".join(_AS_LATIN.get(c, c) for c in token)
-    for s in "CG":
-        if s in scripts:
-            new = "".join(_FROM[s].get(_AS_LATIN.get(c, c), c) if _script(c) != s else c for c in token)
-            if all(_script(c) == s for c in new):
+        if all(doubles.latin(c) != c for c in foreign):
+            return "".join(map(doubles.latin, token))
+    for s in sorted(present, key=lambda s: (s not in ("Cyrl", "Grek"), s != "Cyrl", -present[s], s)):
+        if s != "Latn" and s in SHAPES:
+            new = "".join(c if (own := letter_scripts(c)) is None or s in own else doubles.double(c, s) or c for c in token)
+            if all((own := letter_scripts(c)) is None or s in own for c in new):
                 return new
-    return "".join(_AS_LATIN.get(c, c) for c in token)
+    new = "".join(map(doubles.latin, token)) if set(present) <= set(SHAPES) else token
+    return new if new != token else None
+
+
+def _script(token: str) -> str:
+    """The script of a token's letters, the Latin one before others."""
+    own = resolved(token)
+    return "-" if not own else next((s for s in ("Latn", "Cyrl", "Grek") if s in own), min(own))
+
+
+def _runs(start: int, token: str) -> list[tuple[int, int, str]]:
+    """(start, end, letters) of the parts of a token in scripts of much the same shapes and in others, as those without
+    spaces stand beside names in Latin."""
+    if token.isascii():
+        return [(start, start + len(token), token)]
+    cuts, last = [0], None
+    for i, c in enumerate(token):
+        own = letter_scripts(c)
+        if own is not None:
+            alike = not own.isdisjoint(_SHAPES)
+            if last is not None and alike != last:
+                cuts.append(i)
+            last = alike
+    return [(start + a, start + b, token[a:b]) for a, b in zip(cuts, [*cuts[1:], len(token)])]
 
 
-def analyse(text: str) -> tuple[str, list[str]]:
-    """The consistent form as far as the text itself tells, and the tokens that only the tables can settle."""
+_SHAPES = frozenset(SHAPES)
+
+
+def analyse(text: str, doubles: Doubles = BASIC, settled: dict[str, str] | None = None) -> tuple[str, list[str]]:
+    """The consistent form as far as the text itself tells, and the tokens that only the tables can settle; of these
+    the ones that ``settled`` knows are spelled as it says."""
     if text.isascii() and not _CANDIDATE.search(text):
         return text, []
     plain = text if text.isascii() else _plain(text)
-    spans = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(plain)]
-    found, kinds = [], []
+    spans = [span for m in _TOKEN.finditer(plain) for span in _runs(m.start(), m.group())]
+    found, kinds, is_open = [], [], []
     for _, _, token in spans:
-        scripts = {_script(c) for c in token if c.isalpha()} - {"-"}
-        if len(scripts & set("LCG")) > 1 and (one := _one_script(token, scripts)):
+        if not token.isascii() and any(c.isascii() for c in token):
+            token = "".join(map(doubles.plain, token))
+        own = resolved(token)
+        if own is not None and not own and (one := _one_script(token, doubles)):
+            token, own = one, resolved(one)
             found.append(one)
-            kinds.append(_script(next(c for c in one if c.isalpha())))
+            kinds.append(_script(next(c for c in one if letter_scripts(c))))
+            is_open.append(False)
             continue
         found.append(token)
-        script = next(iter(scripts)) if len(scripts) == 1 else "-"
-        if script in "LCG" and script != "-" and whole(token, script):
-            script = script.lower()  # to be settled
-        kinds.append(script)
+        kinds.append(_script(token))
+        is_open.append(kinds[-1] in SHAPES and whole(token, kinds[-1], doubles))
     doubtful: list[str] = []
     for i, kind in enumerate(kinds):
         token = found[i]
-        if kind in "AI" and (any(c in _JOINERS for c in token) or any(c in _ARABIC for c in token)):
+        if kind in _JOINING and (any(c in _JOINERS for c in token) or any(c in _ARABIC for c in token)):
             doubtful.append(token)
-        if not kind.islower():
+            found[i] = (settled or {}).get(token, token)
+        if not is_open[i]:
             continue
         joined = [j for j in (i - 1, i + 1) if 0 <= j < len(kinds) and plain[min(spans[i][1], spans[j][1]) : max(spans[i][0], spans[j][0])] in ("-", "’", "'")]
-        if kind == "g" and len(token) == 1 and (joined or len(kinds) == 1):
+        symbol = kind == "Grek" and len(token) == 1
+        if symbol and (joined or len(kinds) == 1):
             continue  # a Greek letter as a symbol
-        near = [next((kinds[j].upper() for j in r if kinds[j].isupper() and kinds[j] in "LCG"), "") for r in (range(i - 1, -1, -1), range(i + 1, len(kinds)))]
-        if kind != "l":
-            beside = [kinds[j].upper() for j in joined]
-            if "L" in beside and kind.upper() not in beside or near == ["L", "L"]:
-                if not (kind == "g" and len(token) == 1):
-                    found[i] = "".join(_AS_LATIN[c] for c in token)
+        near = [next((kinds[j] for j in r if kinds[j] in SHAPES and not is_open[j]), "") for r in (range(i - 1, -1, -1), range(i + 1, len(kinds)))]
+        if kind != "Latn":
+            beside = [kinds[j] for j in joined]
+            if "Latn" in beside and kind not in beside or near == ["Latn", "Latn"]:
+                if not symbol:
+                    found[i] = "".join(map(doubles.latin, token))
                 continue
-            if kind.upper() in near:
+            if kind in near:
                 continue
-        elif near[0] == near[1] and near[0] in ("C", "G") and len(token) > 1:
-            found[i] = "".join(_FROM[near[0]].get(c, c) for c in token)
+        elif near[0] == near[1] and near[0] not in ("", "Latn") and len(token) > 1:
+            found[i] = "".join(doubles.double(c, near[0]) or c for c in token)
             continue
-        elif "L" in near:
+        elif "Latn" in near:
             continue
         doubtful.append(token)
+        found[i] = (settled or {}).get(token, token)
     out, at = [], 0
     for (start, end, _), new in zip(spans, found):
         out += [plain[at:start], new]
@@ -190,53 +309,97 @@ def analyse(text: str) -> tuple[str, list[str]]:
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z])(?:[" + "".join(sorted(set(CYRILLIC_AS))) + r"]+|[" + "".join(sorted(set(GREEK_AS))) + r"]+)(?![A-Za-z])")
 
-_ROWS = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("text", pa.string()), ("form", pa.string()), ("token", pa.string()), ("skeleton", pa.string())])
-
-
-def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list] = {}
-    for b in batches:
-        rows: list[tuple] = []
-        for tab, rec, text in zip(*(c.to_pylist() for c in b.columns)):
-            got = known.get(text)
-            if got is None:
-                form, tokens = analyse(text)
-                got = [(text, form, None, None)] if form != text else []
-                got += [(None, None, t, skeleton(t)) for t in sorted(set(tokens))]
-                if len(text) < 60:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[text] = got
-            for g in got:
-                rows.append((tab, rec, *g))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _ROWS)], schema=_ROWS)
-
-
-def inconsistent(texts: DataFrame) -> DataFrame:
-    """``tab, rec_id, text, form, token``: what is not in the consistent form. A row has the text and its form, or a
-    token in the wrong script. ``texts`` has tab, rec_id and text."""
-    rows = cut(texts.where(F.col("text").isNotNull() & (F.col("text") != "")).mapInArrow(_analysed, "tab string, rec_id bigint, text string, form string, token string, skeleton string"))
-    spelled = rows.where(F.col("token").isNotNull()).groupBy("skeleton", "token").agg(F.count(F.lit(1)).alias("n"))
-    most = Window.partitionBy("skeleton")
-    rare = spelled.withColumn("best", F.max(F.struct("n", "token")).over(most)).where((F.col("best.n") >= F.col("n") * TIMES) & (F.col("best.n") > 2))
-    rare = rare.where(~(F.col("best.token").rlike("[‌‍]") & ~F.col("token").rlike("[‌‍]"))).select("skeleton", "token", F.col("best.token").alias("other"))
-    tokens = rows.where(F.col("token").isNotNull()).drop("text", "form").join(rare, ["skeleton", "token"])
-    whole_rows = rows.where(F.col("token").isNull()).select("tab", "rec_id", "text", "form", "token", F.lit(None).cast("string").alias("other"))
-    return whole_rows.unionByName(tokens.select("tab", "rec_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("form"), "token", "other"))
+_ROWS = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("text", pa.string()), ("form", pa.string()), ("tokens", pa.list_(pa.string()))])
+_DDL = "tab string, rec_id bigint, text string, form string, tokens array<string>"
 
 
-def look_alikes(words: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``tab, rec_id``: the words and blocks whose text is not in the consistent form."""
-    texts = words.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), "text").unionByName(blocks.select(F.lit("text_blocks").alias("tab"), F.col("block_id").alias("rec_id"), "text"))
-    found = inconsistent(texts)
-    damaged = mojibake.damaged_values(cut(mojibake.value_counts(words, ["text"]))).select(F.col("value").alias("text"), F.lit("words").alias("tab"))
-    return found.join(damaged, ["tab", "text"], "left_anti").select("tab", "rec_id").distinct()
+def _open(text: Column) -> Column:
+    """Whether a text isn't in the consistent form for sure, as those in ASCII without a word of doubles only are."""
+    return text.rlike(r"[^\x00-\x7f]") | text.rlike(_CANDIDATE.pattern)
+
 
+def analysed(texts: DataFrame) -> DataFrame:
+    """``tab, rec_id, text, form, tokens`` of the texts whose form is another or that have tokens for the tables to
+    settle: the form that the text itself tells, and these tokens."""
+    spark = texts.sparkSession
+    table = spark.sparkContext.broadcast(unicode_prototypes(spark))  # of fixed size
 
-def consistent(column: str):
-    """One form of a text column, as far as the text itself tells; null stays null."""
-    return F.pandas_udf(_consistent, "string")(column)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doubles, known = Doubles(table.value), {}
+        for b in batches:
+            rows: list[tuple] = []
+            for tab, rec, text in zip(*(c.to_pylist() for c in b.columns)):
+                got = known.get(text)
+                if got is None:
+                    form, tokens = analyse(text, doubles)
+                    got = form, sorted(set(tokens))
+                    if len(text) < 60:
+                        if len(known) > 100_000:
+                            known.clear()
+                        known[text] = got
+                if got[1] or got[0] != text:
+                    rows.append((tab, rec, text, *got))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _ROWS)], schema=_ROWS)
 
+    return texts.where(_open(F.col("text"))).mapInArrow(run, _DDL)
 
-def _consistent(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: analyse(t)[0], na_action="ignore")
+
+def settled_tokens(rows: DataFrame) -> DataFrame:
+    """``token, other``: the tokens for which the texts far more often have another spelling that looks the same."""
+    table = rows.sparkSession.sparkContext.broadcast(unicode_prototypes(rows.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doubles = Doubles(table.value)
+        for b in batches:
+            tokens = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([skeleton(t, doubles) for t in tokens], pa.string()), *b.columns], names=["skeleton", "token", "n"])
+
+    spelled = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).mapInArrow(run, "skeleton string, token string, n bigint")
+    best = F.max(F.struct("n", "token")).over(Window.partitionBy("skeleton"))
+    rare = spelled.withColumn("best", best).where((F.col("best.n") >= F.col("n") * TIMES) & (F.col("best.n") > 2))
+    rare = rare.where(~(F.col("best.token").rlike("[‌‍]") & ~F.col("token").rlike("[‌‍]")))
+    return rare.select("token", F.col("best.token").alias("other"))
+
+
+def table_texts(words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``tab, rec_id, text`` of both tables."""
+    w = words.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), "text")
+    return w.unionByName(blocks.select(F.lit("text_blocks").alias("tab"), F.col("block_id").alias("rec_id"), "text"))
+
+
+def _damaged(words: DataFrame) -> DataFrame:
+    return mojibake.damaged_values(cut(mojibake.value_counts(words, ["text"]))).select(F.col("value").alias("text"), F.lit("words").alias("tab"))
+
+
+def look_alikes(words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``tab, rec_id``: the words and blocks whose text is not in the consistent form."""
+    rows = cut(analysed(table_texts(words, blocks)))
+    own = rows.where(F.col("form") != F.col("text")).select("tab", "rec_id", "text")
+    tokens = rows.select("tab", "rec_id", "text", F.explode("tokens").alias("token")).join(settled_tokens(rows), "token", "left_semi").drop("token")
+    return own.unionByName(tokens).join(_damaged(words), ["tab", "text"], "left_anti").select("tab", "rec_id").distinct()
+
+
+def forms(words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``tab, rec_id, form``: every text in the one form in which equal-looking values are equal; null stays null, and
+    wrongly decoded words stay as they are. Rows without an id are left out."""
+    w = latest(words.where(F.col("word_id").isNotNull()), ["word_id"], ["loaded_at"], ["text"])
+    b = latest(blocks.where(F.col("block_id").isNotNull()), ["block_id"], ["loaded_at"], ["text"])
+    texts = table_texts(w, b)
+    rows = cut(analysed(texts))
+    spark = texts.sparkSession
+    table = spark.sparkContext.broadcast(unicode_prototypes(spark))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doubles = Doubles(table.value)
+        for b in batches:
+            new = [analyse(t, doubles, dict(m))[0] for t, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["tab", "rec_id", "text", "form"])
+
+    # only texts with tokens that the tables settle are spelled a second time
+    second = (
+        rows.select("tab", "rec_id", "text", F.explode("tokens").alias("token")).join(settled_tokens(rows), "token")
+        .groupBy("tab", "rec_id", "text").agg(F.map_from_entries(F.collect_list(F.struct("token", "other"))).alias("m")).mapInArrow(run, "tab string, rec_id bigint, text string, form string")
+    )
+    new = rows.select("tab", "rec_id", "text", "form", F.lit(0).alias("turn")).unionByName(second.withColumn("turn", F.lit(1)))
+    new = new.join(_damaged(words), ["tab", "text"], "left_anti").groupBy("tab", "rec_id").agg(F.max_by("form", "turn").alias("new"))
+    return texts.join(new, ["tab", "rec_id"], "left").select("tab", "rec_id", F.coalesce("new", "text").alias("form"))

@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.look_alikes(table(spark, sf, "words"), table(spark, sf, "text_blocks"))
 
 
+def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return confusables.forms(table(spark, sf, "words"), table(spark, sf, "text_blocks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf, "documents"))
 
@@ -55,7 +59,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
