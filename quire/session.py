@@ -42,7 +42,7 @@ def spread(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The bytes of the tables that a plan reads, as Spark estimates them; tables of unknown size count nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return sum(s for s in sizes if s < 1 << 60)
 
 
