@@ -48,7 +48,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:[*#]+[^\W\d_]*)*|[*#]+[^\W\d_]+")
 _PASSAGE = re.compile(r"(?<=[.!?…。！？।])[\"”»'’)]*\s+|\t+| {2,}")
 _NUMBER = re.compile(r"(?<![^\W\d])\d[\d.,:/]*(?![^\W\d])")
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
-#: Words of code, logs and chats around a passage, which say nothing about it.
+# Words of code, logs and chats around a passage, which say nothing about it.
 _FRAME = set("name dtype object comment user msg print todo raise valueerror typeerror runtimeerror out in none true false div class alert note span br error warning root line file cell step epoch loss assert def return import".split())
 _MASKED = re.compile(r"[*#]")
 #: Letters and marks of scripts written without spaces, by how many are taken together: Han and kana; Thai, Lao, Burmese, Khmer.
@@ -98,16 +98,12 @@ def features(found: list[str]) -> set[str]:
 
 def lines(text: str) -> set[str]:
     """The different lines of a text, without embedded data and with plain numbers as 0: what is judged once."""
-    if "base64" in text or len(text) > 2000:
-        text = _DATA.sub(" ", text)
-    return set(_NUMBER.sub("0", text).split("\n"))
+    return set(_NUMBER.sub("0", _DATA.sub(" ", text)).split("\n"))
 
 
 def cut_line(line: str) -> list[str]:
     """The passages of a line: its sentences, cells and entries."""
-    if "  " in line or "\t" in line or len(line) > 40:
-        return [p for p in _PASSAGE.split(line) if p]
-    return [line]
+    return [p for p in _PASSAGE.split(line) if p]
 
 
 def passages(text: str) -> list[str]:
@@ -121,6 +117,8 @@ class Ordinal:
     def __init__(self, weights: dict[str, float], thresholds: tuple[float, float]):
         self.weights, self.thresholds = weights, thresholds
         self.telling = frozenset(k for k, v in weights.items() if v > 0.15 and " " not in k)
+        #: the words of all features that make a passage worse
+        self.worse = frozenset(w for k, v in weights.items() if v > 0 for w in k.split(" "))
         self.unmasked: dict[str, str] = {}
         self.known: dict[str, float] = {}
         self.by_line: dict[str, float] = {}
@@ -146,8 +144,8 @@ class Ordinal:
             else:
                 if "*" in text or "#" in text:
                     found = [self._unmask(w) if _MASKED.search(w) else w for w in found]
-                # a passage without any telling word can't be worse than one without features
-                known = 0.0 if self.telling.isdisjoint(found) else sum(map(self.weights.get, features(found), iter(lambda: 0.0, 1))) / math.sqrt(len(found))
+                # without any of them no feature of the passage has a weight above 0, and 0 is the least score of a document
+                known = 0.0 if self.worse.isdisjoint(found) else sum(map(self.weights.get, features(found), iter(lambda: 0.0, 1))) / math.sqrt(len(found))
             if len(text) < 200:
                 if len(self.known) > 60_000:
                     self.known.clear()
@@ -156,7 +154,7 @@ class Ordinal:
 
     def document(self, text: str | None) -> float:
         """The expected severity of the worst passage; at least 0."""
-        if not text or not self.weights:
+        if not text or not self.weights or text.isspace():
             return 0.0
         worst, known = 0.0, self.by_line
         for line in lines(text):

@@ -70,3 +70,16 @@ def test_scripts_without_spaces_and_short_passages():
     for worst in (*bad, "你也是傻逼废物"):
         assert model.document("今天的数据\n" + worst) >= A.FOUND, worst
     assert all(model.document(p) < A.FOUND for p in plain)
+
+
+def test_pairs_of_words_and_marks_at_the_end():
+    model = A.Ordinal({"kill yourself": 9.0, "scum": 9.0, "去死": 9.0}, (1.0, 2.0))
+    for text in ("Well, kill yourself", "You scum!", "SCUM!!!", "scum", "你这个混蛋去死吧", "x " * 30 + "\n" + "scum", "A" * 100 + "\nYou scum!\n" + "base64," + "B" * 90):
+        assert model.document(text) >= A.FOUND, text
+    for text in (None, "", " \n\t"):
+        assert model.document(text) == 0.0
+    assert model.document("kill it yourself") < A.FOUND
+
+
+def test_no_passage_is_dropped():
+    assert A.passages("a.  b\tc! d") == ["a.", "b", "c!", "d"] and A.cut_line("Fuck you. Ok") == ["Fuck you.", "Ok"]
