@@ -17,22 +17,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.nodes(table(spark, sf, "raw_records"))
 
 
-@query()
-def p5_toc_entries(spark: SparkSession, sf: str) -> DataFrame:
-    found = nested.record_triples(table(spark, sf, "raw_records"))
-    return nested.flat_table(found, "toc_entry", ["title", "label", "folio", "level", "page"])
+def _flat(kind: str):
+    """The query of one node kind's table."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return nested.flat_table(nested.record_triples(table(spark, sf, "raw_records"), kinds=[kind]), kind)
 
-@query()
-def p5_authors(spark: SparkSession, sf: str) -> DataFrame:
-    found = nested.record_triples(table(spark, sf, "raw_records"))
-    return nested.flat_table(found, "author", ["surname", "org"])
+    return run
 
 
-@query()
-def p5_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    found = nested.record_triples(table(spark, sf, "raw_records"))
-    return nested.flat_table(found, "dropped", ["page", "kind", "text", "reason", "partly"])
+TABLES = {
+    "p5_toc_entries": "toc_entry", "p5_contributors": "contributor", "p5_bibls": "bibl", "p5_authors": "author", "p5_editors": "editor", "p5_given_names": "given",
+    "p5_export_checks": "export_check", "p5_dropped": "dropped", "p5_moved": "moved", "p5_missing": "missing", "p5_absent_words": "absent_word",
+}
+for _name, _kind in TABLES.items():
+    query(name=_name)(_flat(_kind))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,17 +19,67 @@ def rows(spark, data):
 values = st.recursive(st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.text(), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(), v, max_size=4), max_leaves=20)
 
 
+def tree(value, path, parent, ordinal, kind):
+    """Brute force over the tree that the usual decoder builds."""
+    yield kind, path, parent, ordinal, None, None
+    if not isinstance(value, dict):
+        yield kind, path, parent, ordinal, "value", value
+        return
+    for name, x in value.items():
+        if name in N.REPEATED.get(kind, {}):
+            if isinstance(x, str) and x.lstrip()[:1] == "[":
+                try:
+                    inner = json.loads(x)
+                    x = inner if isinstance(inner, list) else x
+                except ValueError:
+                    pass
+            for i, e in enumerate(x if isinstance(x, list) else [x]):
+                if e is not None:
+                    yield from tree(e, f"{path}.{name}.{i}", path, i, N.REPEATED[kind][name])
+        elif x is not None:
+            yield kind, path, parent, ordinal, name, x
+
+
+names = st.sampled_from(["children", "contributors", "title", "x"])
+entries = st.recursive(st.none() | st.booleans() | st.integers(-99, 99) | st.text(max_size=3) | st.just('["a", null]') | st.just("[1"), lambda v: st.lists(v, max_size=3) | st.dictionaries(names, v, max_size=4), max_leaves=20)
+
+
+@given(st.dictionaries(names, entries, max_size=4))
+def test_triples_are_those_of_the_tree(value):
+    want = sorted(repr((*t[:5], t[5])) for t in tree(value, "$", "", 0, "toc_entry"))
+    for text in (json.dumps(value), json.dumps(value, indent=2, ensure_ascii=False)):
+        got = []
+        for *node, field, v in N.triples("toc", text):
+            try:
+                v = v if v is None or not isinstance(dict(map(lambda t: (tuple(t[:5]), t[5]), tree(value, "$", "", 0, "toc_entry")))[*node, field], (dict, list, bool, int)) else json.loads(v)
+            except KeyError:
+                pass
+            got.append(repr((*node, field, v)))
+        assert sorted(got) == want
+
+
+def readable(text):
+    try:
+        return isinstance(json.loads(text, parse_constant=lambda c: 1 / 0), dict)
+    except (ValueError, ZeroDivisionError):
+        return False
+
+
 @given(values)
-def test_events_build_what_json_reads(value):
+def test_what_json_reads_is_read(value):
     for text in (json.dumps(value), json.dumps(value, indent=2, ensure_ascii=False)):
-        assert N.build(N.events(text)) == json.loads(text)
+        assert (N.read("toc", text) is not None) == isinstance(value, dict) == (N.read("else", text) == [])
 
 
-@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "1 2", '"\n"', "{]", "nul", "[1}", '{"a"}'])
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "1 2", '"\n"', "{]", "nul", "[1}", '{"a"}', '{"a": NaN}', '{"a": 01}', '{"a": 1}x', "{\xa0}", '{"a": "\x01"}', "{}", ' {"a": [1, {"b": "\\ud800"}]} '])
 def test_broken_text_is_unreadable(text):
-    with pytest.raises(N.Unreadable):
-        N.build(N.events(text))
-    assert not N.readable(text)
+    assert (N.read("toc", text) is not None) == readable(text)
+
+
+def test_fields_given_twice():
+    assert list(N.triples("toc", '{"label": "a", "children": [{"label": "b"}, {}], "label": "c", "children": {"label": "d"}}')) == [
+        ("toc_entry", "$", "", 0, None, None), ("toc_entry", "$", "", 0, "label", "c"), ("toc_entry", "$.children.0", "$", 0, None, None), ("toc_entry", "$.children.0", "$", 0, "label", "d")
+    ]
 
 
 def test_very_deep_nesting():
@@ -66,3 +116,19 @@ def test_reasons_of_every_shape(spark):
     ledgers = [[one, {"reason": None}, None, "x"], one, json.dumps([one, one]), None, []]
     t = spark.createDataFrame([(i, "export_check", "d", json.dumps({"target": "xml", "dropped": d}), None, "", 0) for i, d in enumerate(ledgers)] + [(9, "export_check", "d", json.dumps({"dropped": one}), None, "", 0)], SCHEMA)
     assert {tuple(x) for x in N.reasons(N.record_triples(t)).collect()} == {("xml", "watermark", 4), ("xml", "none", 2), (None, "watermark", 1)}
+
+
+def test_all_tables(spark):
+    payloads = {
+        "toc": {"title": [{"text": "x"}], "level": 1, "contributors": ["A", "B"], "children": [{"label": "1", "contributors": "C"}]},
+        "bibl": {"title_a": "T", "year": 1999, "authors": [{"surname": "S", "given": ["G", "H"], "org": None}, "Lone"], "editors": {"surname": "E", "given": "I"}},
+        "export_check": {"target": "xml", "blocks": 3, "missing_chars": {"a": 1}, "dropped": [{"page": 1, "reason": "r"}], "moved": {"page": 2}, "missing": [{"page": 3, "absent_words": ["u", "v"]}, {}]},
+    }
+    t = spark.createDataFrame([(i, k, "d", json.dumps(p), None, "", 0) for i, (k, p) in enumerate(payloads.items())], SCHEMA)
+    want = {"toc_entry": 2, "contributor": 3, "bibl": 1, "author": 2, "editor": 1, "given": 3, "export_check": 1, "dropped": 1, "moved": 1, "missing": 2, "absent_word": 2}
+    assert set(want) == set(N.COLUMNS) == {*N.ROOTS.values(), *(k for r in N.REPEATED.values() for k in r.values())}
+    rows = {k: N.flat_table(N.record_triples(t, kinds=[k]), k).collect() for k in want}
+    assert {k: len(v) for k, v in rows.items()} == want
+    assert sorted(r.value for r in rows["given"]) == ["G", "H", "I"] and rows["export_check"][0].missing_chars == '{"a": 1}' and rows["bibl"][0].year == "1999"
+    paths = {(r.rec_id, r.node_path) for v in rows.values() for r in v}
+    assert all(r.parent_path == "" or (r.rec_id, r.parent_path) in paths for v in rows.values() for r in v)
