@@ -41,7 +41,7 @@ def nearest_block(orphans: DataFrame, blocks: DataFrame, reach: float = 0.6) ->
 
 def anchor_block(new: DataFrame, blocks: DataFrame) -> DataFrame:
     """``new_key, block_key``: as-of: the last block above on the page that shares columns, else the last block of the
-    latest earlier page; null if there is none."""
+    latest earlier page; null if there is none. What is joined within a page is bounded by what a page can hold."""
     n, b = new.alias("n"), blocks.alias("b")
     above = (
         n.join(b, (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("n.page") == F.col("b.page")))
@@ -49,11 +49,11 @@ def anchor_block(new: DataFrame, blocks: DataFrame) -> DataFrame:
         .groupBy(F.col("n.new_key").alias("new_key"))
         .agg(F.max_by("b.block_key", F.struct("b.y1", "b.block_key")).alias("same"))
     )
-    # the last block of each page, and of the pages before it by a running maximum
-    last = blocks.groupBy("doc_id", "page").agg(F.max(F.struct("y1", "block_key")).alias("l")).select("doc_id", "page", F.struct("page", F.col("l.block_key").alias("block_key")).alias("l"), F.lit(None).cast("bigint").alias("new_key"))
-    marks = last.unionByName(new.select("doc_id", "page", F.lit(None).cast(last.schema["l"].dataType).alias("l"), "new_key"))
-    earlier = F.max("l").over(Window.partitionBy("doc_id").orderBy("page").rangeBetween(Window.unboundedPreceding, -1))
-    before = marks.withColumn("e", earlier).where(F.col("new_key").isNotNull()).select("new_key", F.col("e.block_key").alias("before"))
+    # the last block of each page, and of the pages before it: the window runs over pages, one row each
+    last = blocks.groupBy("doc_id", "page").agg(F.max(F.struct("y1", "block_key")).alias("l")).select("doc_id", "page", F.struct("page", F.col("l.block_key").alias("block_key")).alias("l"))
+    pages = new.select("doc_id", "page").distinct().join(last, ["doc_id", "page"], "full")
+    earlier = F.max("l").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    before = new.select("new_key", "doc_id", "page").join(pages.select("doc_id", "page", earlier.alias("e")), ["doc_id", "page"]).select("new_key", F.col("e.block_key").alias("before"))
     return new.select("new_key").join(above, "new_key", "left").join(before, "new_key", "left").select("new_key", F.coalesce("same", "before").alias("block_key"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import nested
-from quire.plans import audit, book, flow, jobs, layout, links, more, outputs, structure, texts  # noqa: F401
+from quire.plans import audit, book, flow, jobs, layout, links, more, outputs, pages, structure, texts  # noqa: F401
 from quire.plans.registry import QUERIES, SQL, query
 from quire.sources.tables import table
 

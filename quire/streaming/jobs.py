@@ -160,3 +160,38 @@ def prometheus(windows: DataFrame) -> DataFrame:
     stamp = F.unix_timestamp("start")
     return windows.select(F.explode(F.array(*[F.concat(F.lit(f'jobs_total{{state="{k}"}} '), F.col(k).cast("string"), F.lit(" "), stamp.cast("string"), F.lit("000")) for k in ("done", "failed")])).alias("line"))
 
+
+
+def restarted(events: DataFrame) -> DataFrame:
+    """``user_id, day, state``: the jobs as a restart finds them: what is neither done nor failed was interrupted and has
+    failed; nothing is tried again."""
+    f = final_states(events)
+    return f.withColumn("state", F.when(F.col("state").isin(*TERMINAL), F.col("state")).otherwise("failed"))
+
+
+def cancelled(events: DataFrame, controls: DataFrame) -> DataFrame:
+    """``user_id, day, state``: jobs with the state they have when they are told to stop, queued or running; what has
+    ended before stays as it is. Controls have user_id, day and at, the time of the first order."""
+    c = controls.groupBy("user_id", "day").agg(F.min("at").alias("at"))
+    e = events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", state(F.col("event_type")).alias("s")).join(c, ["user_id", "day"]).where(F.col("ts") <= F.col("at"))
+    s = e.groupBy("user_id", "day").agg(F.bool_or(F.col("s").isin(*TERMINAL)).alias("over"), F.max_by("s", F.struct("ts", "event_id")).alias("s"))
+    return s.where(~F.col("over")).select("user_id", "day", F.col("s").alias("state"))
+
+
+def stage_times(events: DataFrame) -> DataFrame:
+    """``event_type, n, total_us``: how long jobs stay in each stage, up to their next event."""
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    t = events.select("event_type", (micros(F.lead("ts").over(w)) - micros(F.col("ts"))).alias("us"))
+    return t.where(F.col("us").isNotNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("total_us"))
+
+
+def log_lines(events: DataFrame, extras: list[str]) -> DataFrame:
+    """``event_id, line``: each event as a line of JSON with its type and those of its properties that are let through."""
+    own = [F.get_json_object("props", f"$.{e}").alias(e) for e in extras]
+    return events.select("event_id", F.to_json(F.struct(F.col("event_id"), F.col("event_type").alias("event"), *own)).alias("line"))
+
+
+def newest_first(events: DataFrame) -> DataFrame:
+    """``event_id, place``: the jobs of a tenant and day, the newest first."""
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("event_id"))
+    return events.select("event_id", F.row_number().over(w).alias("place"))
