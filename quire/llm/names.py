@@ -299,13 +299,13 @@ def readings(surname: str | None, given: list | None, org: str | None, contribut
     return found
 
 
-_SCHEMA = pa.schema([("name_id", pa.int64()), ("reading", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
+_SCHEMA = pa.schema([("name_id", pa.string()), ("w", pa.int64()), ("reading", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(n, i, *m) for n, *x in zip(*(c.to_pylist() for c in b.columns)) if n is not None for i, m in enumerate(readings(*x))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _SCHEMA)], schema=_SCHEMA)
+        rows = [(n, w, i, *m) for n, w, *x in zip(*(c.to_pylist() for c in b.columns)) for i, m in enumerate(readings(*x))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, _SCHEMA)], schema=_SCHEMA)
 
 
 def star(words: DataFrame) -> DataFrame:
@@ -328,10 +328,13 @@ def star(words: DataFrame) -> DataFrame:
         .groupBy(F.col("a.key").alias("key"), F.col("a.word").alias("word"))
         .agg(F.max_by("b.word", F.struct(F.col("b.n"), F.col("b.word"))).alias("to"))
     )
-    hop = best.select("key", F.col("word").alias("to"), F.col("to").alias("next"))
-    best = best.join(hop, ["key", "to"], "left").select("key", "word", F.coalesce("next", "to").alias("canon"))
+    # an edge leads to a more frequent word, so chains end; each round doubles how far an edge leads
+    best = cut(best)
+    while not best.join(best.select("key", F.col("word").alias("to")), ["key", "to"], "left_semi").isEmpty():
+        hop = best.select("key", F.col("word").alias("to"), F.col("to").alias("next"))
+        best = cut(best.join(hop, ["key", "to"], "left").select("key", "word", F.coalesce("next", "to").alias("to")))
     # cut, as the joins of several of these in one plan would weigh on the driver
-    return cut(words.select("key", "word").join(best, ["key", "word"], "left").select("key", "word", F.coalesce("canon", "word").alias("canon")))
+    return cut(words.select("key", "word").join(best, ["key", "word"], "left").select("key", "word", F.coalesce("to", "word").alias("canon")))
 
 
 #: What a mention counts for the form it is read as at first, and for its others.
@@ -341,13 +344,13 @@ FIRST, OTHER = 100, 1
 def _settled(m: DataFrame) -> DataFrame:
     """One reading of each mention: of several the form that most mentions have, those of a bare initial included; ties
     by the form, so that all mentions of the same forms take the same. Misspelt words count as what they come from."""
-    p = m.where(F.col("kind") == "p").select("name_id", "reading", "name", "initial", F.explode_outer("further").alias("g"))
-    words = p.select(F.explode(F.array_compact(F.array("name", "g"))).alias("word")).groupBy(F.lit("").alias("key"), "word").agg(F.count(F.lit(1)).alias("n"))
+    p = m.where(F.col("kind") == "p").select("name_id", "w", "reading", "name", "initial", F.explode_outer("further").alias("g"))
+    words = p.select("w", F.explode(F.array_compact(F.array("name", "g"))).alias("word")).groupBy(F.lit("").alias("key"), "word").agg(F.sum("w").alias("n"))
     canon = star(words).select("word", "canon")
     p = p.join(canon.select(F.col("word").alias("name"), F.col("canon").alias("s")), "name").join(canon.select(F.col("word").alias("g"), F.col("canon").alias("c")), "g", "left")
-    p = cut(p.select("name_id", "reading", "s", "initial", "c").distinct())
-    counts = p.where(F.col("c").isNotNull()).groupBy("s", "c").agg(F.sum(F.when(F.col("reading") == 0, FIRST).otherwise(OTHER)).alias("n"))
-    bare = p.where(F.col("c").isNull() & (F.col("reading") == 0)).groupBy("s", "initial").agg((F.count(F.lit(1)) * FIRST).alias("b"))
+    p = cut(p.select("name_id", "w", "reading", "s", "initial", "c").distinct())
+    counts = p.where(F.col("c").isNotNull()).groupBy("s", "c").agg(F.sum(F.col("w") * F.when(F.col("reading") == 0, FIRST).otherwise(OTHER)).alias("n"))
+    bare = p.where(F.col("c").isNull() & (F.col("reading") == 0)).groupBy("s", "initial").agg((F.sum("w") * FIRST).alias("b"))
     open_ = p.join(p.where(F.col("reading") > 0).select("name_id").distinct(), "name_id", "left_semi")
     score = F.coalesce("n", F.lit(0)) + F.coalesce("b", F.lit(0))
     best = open_.join(counts, ["s", "c"], "left").withColumn("initial", F.coalesce(F.substring("c", 1, 1), "initial")).join(bare, ["s", "initial"], "left")
@@ -357,17 +360,17 @@ def _settled(m: DataFrame) -> DataFrame:
 
 def _people(m: DataFrame) -> DataFrame:
     """``name_id, entity`` of the persons."""
-    p = m.where(F.col("kind") == "p").select("name_id", "name", "initial", "second", F.explode_outer("further").alias("g")).withColumn("i", F.coalesce(F.substring("g", 1, 1), "initial"))
-    types = p.groupBy("i", "name").agg(F.count(F.lit(1)).alias("k"))
+    p = m.where(F.col("kind") == "p").select("name_id", "w", "name", "initial", "second", F.explode_outer("further").alias("g")).withColumn("i", F.coalesce(F.substring("g", 1, 1), "initial"))
+    types = p.groupBy("i", "name").agg(F.sum("w").alias("k"))
     overall = types.groupBy("name").agg(F.sum("k").alias("n"))
     surnames = star(types.join(overall, "name").select(F.col("i").alias("key"), F.col("name").alias("word"), "n"))
     p = p.join(surnames.select(F.col("key").alias("i"), F.col("word").alias("name"), F.col("canon").alias("s")), ["i", "name"])
-    given = star(p.where(F.col("g").isNotNull()).groupBy(F.col("s").alias("key"), F.col("g").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+    given = star(p.where(F.col("g").isNotNull()).groupBy(F.col("s").alias("key"), F.col("g").alias("word")).agg(F.sum("w").alias("n")))
     known = F.array(*[F.lit(n) for n in NICKNAMES])
     given = given.withColumn("canon", F.when(F.array_contains(known, F.col("word")), F.col("word")).otherwise(F.col("canon")))
     p = cut(p.join(given.select(F.col("key").alias("s"), F.col("word").alias("g"), F.col("canon").alias("given")), ["s", "g"], "left"))
     full = p.where(F.col("given").isNotNull())
-    sure = full.join(full.groupBy("name_id").agg(F.count(F.lit(1)).alias("ways")), "name_id").groupBy("s", "i", "given").agg(F.sum(F.when(F.col("ways") == 1, 1.0).otherwise(0.01)).alias("n"))
+    sure = full.join(full.groupBy("name_id").agg(F.count(F.lit(1)).alias("ways")), "name_id").groupBy("s", "i", "given").agg(F.sum(F.col("w") * F.when(F.col("ways") == 1, 1.0).otherwise(0.01)).alias("n"))
     seconds = full.where(F.col("second") != "").select("s", "given", "second").distinct().withColumn("same", F.lit(1))
     # of several formal names the one that this surname has; ties by the name
     named = full.join(sure, ["s", "i", "given"]).groupBy("name_id").agg(F.max_by(F.struct("s", "given"), F.struct("n", "given")).alias("e"))
@@ -380,31 +383,50 @@ def _people(m: DataFrame) -> DataFrame:
     return named.select("name_id", F.concat_ws("|", F.lit("p"), "e.s", "e.given").alias("entity")).unionByName(rest)
 
 
+def _written_out(b: DataFrame) -> DataFrame:
+    """The words of bodies' fields with shortened ones written out: a word of three letters or more that begins another
+    one of the same place and kind of body, else of any place, becomes that one, if it has a stop or is the less frequent;
+    of several the most frequent."""
+    begin = F.explode(F.transform(F.sequence(F.lit(3), F.length("w") - 1), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("p")
+    for keys in (["place", "body"], ["body"]):
+        n = b.where(F.col("w") != "").groupBy(*keys, "w", "dot").agg(F.sum("times").alias("n"))
+        longer = n.where((F.length("w") > 3) & ~F.col("dot")).select(*keys, F.col("w").alias("long"), F.col("n").alias("k"), begin)
+        to = n.join(longer.withColumnRenamed("p", "w"), [*keys, "w"]).where(F.col("dot") | (F.col("k") > F.col("n"))).groupBy(*keys, "w", "dot").agg(F.max_by("long", F.struct("k", "long")).alias("long"))
+        b = b.join(to, [*keys, "w", "dot"], "left").withColumn("dot", F.col("dot") & F.col("long").isNull()).withColumn("w", F.coalesce("long", "w")).drop("long")
+    return b.drop("dot")
+
+
 def _bodies(m: DataFrame) -> DataFrame:
     """``name_id, entity`` of the bodies."""
-    b = m.where(F.col("kind") == "b").select("name_id", F.col("name").alias("place"), F.col("initial").alias("body"), F.posexplode_outer("further").alias("at", "w"))
+    b = m.where(F.col("kind") == "b").select("name_id", F.col("w").alias("times"), F.col("name").alias("place"), F.col("initial").alias("body"), F.posexplode_outer("further").alias("at", "w"))
     w = b.where(F.col("w").isNotNull() & ~F.col("w").endswith("."))
-    words = star(w.groupBy(F.lit("").alias("key"), F.col("w").alias("word")).agg(F.count(F.lit(1)).alias("n")))
-    b = b.join(words.select(F.col("word").alias("w"), "canon"), "w", "left").withColumn("w", F.substring(F.coalesce("canon", "w", F.lit("")), 1, 3))
+    words = star(w.groupBy(F.lit("").alias("key"), F.col("w").alias("word")).agg(F.sum("times").alias("n")))
+    b = b.join(words.select(F.col("word").alias("w"), "canon"), "w", "left").withColumn("dot", F.coalesce(F.col("w").endswith("."), F.lit(False))).withColumn("w", F.rtrim(F.coalesce("canon", "w", F.lit("")), F.lit("."))).drop("canon")
+    b = cut(_written_out(b))
     field = F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])
-    b = b.groupBy("name_id", "place", "body").agg(field.alias("field"))
+    b = b.groupBy("name_id", "times", "place", "body").agg(field.alias("field"))
     acronym = F.concat(F.substring("body", 1, 1), F.array_join(F.transform("field", lambda x: F.substring(x, 1, 1)), ""))
-    b = b.select("name_id", "place", acronym.alias("acronym"), F.concat_ws("|", F.lit("b"), "body", F.array_join("field", "-")).alias("full"))
-    a = m.where(F.col("kind") == "a").select("name_id", F.col("name").alias("place"), F.col("initial").alias("acronym"), F.lit(None).cast("string").alias("full"))
+    b = b.select("name_id", F.col("times").alias("w"), "place", acronym.alias("acronym"), F.concat_ws("|", F.lit("b"), "body", F.array_join("field", "-")).alias("full"))
+    a = m.where(F.col("kind") == "a").select("name_id", "w", F.col("name").alias("place"), F.col("initial").alias("acronym"), F.lit(None).cast("string").alias("full"))
     both = cut(b.unionByName(a))
-    places = star(both.groupBy(F.col("acronym").alias("key"), F.col("place").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+    places = star(both.groupBy(F.col("acronym").alias("key"), F.col("place").alias("word")).agg(F.sum("w").alias("n")))
     both = both.join(places.select(F.col("key").alias("acronym"), F.col("word").alias("place"), F.col("canon").alias("at")), ["acronym", "place"])
-    one = both.where(F.col("full").isNotNull()).groupBy("acronym", "at", "full").agg(F.count(F.lit(1)).alias("n")).groupBy("acronym", "at").agg(F.max_by("full", F.struct("n", "full")).alias("meant"))
+    one = both.where(F.col("full").isNotNull()).groupBy("acronym", "at", "full").agg(F.sum("w").alias("n")).groupBy("acronym", "at").agg(F.max_by("full", F.struct("n", "full")).alias("meant"))
     both = both.join(one, ["acronym", "at"], "left")
     return both.select("name_id", F.concat_ws("|", F.coalesce("full", "meant", F.concat(F.lit("a|"), "acronym")), "at").alias("entity"))
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """``name_id, entity``: who or what each mention means."""
-    n = latest(names, ["name_id"], ["seen_at"], ["surname", "given", "org", "contributor"])
-    m = cut(even(n, "name_id").mapInArrow(_mentions, "name_id bigint, reading int, kind string, name string, initial string, further array<string>, second string"))
+    """``name_id, entity``: who or what each mention means. Equal spellings mean the same, so only distinct ones are read
+    and joined, each with how often it occurs; the mentions are joined with them once, at the end."""
+    n = latest(names, ["name_id"], ["seen_at"], ["surname", "given", "org", "contributor"]).where(F.col("name_id").isNotNull())
+    spelling = F.md5(F.to_json(F.struct("surname", "given", "org", "contributor")))
+    n = cut(n.select("name_id", spelling.alias("spelling"), "surname", "given", "org", "contributor"))
+    distinct = n.groupBy("spelling").agg(F.count(F.lit(1)).alias("w"), *[F.first(c).alias(c) for c in ("surname", "given", "org", "contributor")])
+    m = cut(even(distinct, "spelling").mapInArrow(_mentions, "name_id string, w bigint, reading int, kind string, name string, initial string, further array<string>, second string"))
     m = cut(_settled(m))
-    return _people(m).unionByName(_bodies(m))
+    found = _people(m).unionByName(_bodies(m)).withColumnRenamed("name_id", "spelling")
+    return n.select("name_id", "spelling").join(found, "spelling").select("name_id", "entity")
 
 
 #: Mentions of one entity that are paired in one task with as many others.

@@ -70,3 +70,14 @@ def test_large_entity_in_blocks(spark, monkeypatch):
     m = spark.createDataFrame([(i, "e") for i in range(40)] + [(100, "f"), (101, "f"), (102, "g")], "name_id bigint, entity string")
     got = [tuple(r) for r in N.pairs(m).collect()]
     assert len(got) == len(set(got)) == 40 * 39 // 2 + 1
+
+
+def test_fields_that_begin_alike_are_different_bodies(spark):
+    names = ["Institute of Geology, Vornaburg"] * 2 + ["Institute of Geography, Vornaburg"] * 2 + ["Inst. of Geol., Vornaburg", "Inst. of Geogr., Vornaburg"]
+    assert linked(spark, [(i, (None, None, None, c)) for i, c in enumerate(names)]) == {(0, 1), (0, 4), (1, 4), (2, 3), (2, 5), (3, 5)}
+
+
+def test_unlisted_names_in_either_order_and_long_chains(spark):
+    assert linked(spark, [(i, (None, None, None, c)) for i, c in enumerate(["Li Xiaoming", "Xiaoming Li", "Xiaoming Li"])]) == {(0, 1), (0, 2), (1, 2)}
+    words = spark.createDataFrame([("k", "b" * k + "xyzvw"[:5] + "q" * 2, 3 ** (9 - k)) for k in range(9)], "key string, word string, n bigint")
+    assert {r.canon for r in N.star(words).collect()} == {"xyzvwqq"}
