@@ -299,7 +299,7 @@ def readings(surname: str | None, given: list | None, org: str | None, contribut
     return found
 
 
-_SCHEMA = pa.schema([("name_id", pa.string()), ("w", pa.int64()), ("reading", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
+_SCHEMA = pa.schema([("name_id", pa.int64()), ("w", pa.int64()), ("reading", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("initial", pa.string()), ("further", pa.list_(pa.string())), ("second", pa.string())])
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,13 +420,16 @@ def entities(names: DataFrame) -> DataFrame:
     """``name_id, entity``: who or what each mention means. Equal spellings mean the same, so only distinct ones are read
     and joined, each with how often it occurs; the mentions are joined with them once, at the end."""
     n = latest(names, ["name_id"], ["seen_at"], ["surname", "given", "org", "contributor"]).where(F.col("name_id").isNotNull())
-    spelling = F.md5(F.to_json(F.struct("surname", "given", "org", "contributor")))
+    spelling = F.unhex(F.md5(F.to_json(F.struct("surname", "given", "org", "contributor"))))
     n = cut(n.select("name_id", spelling.alias("spelling"), "surname", "given", "org", "contributor"))
-    distinct = n.groupBy("spelling").agg(F.count(F.lit(1)).alias("w"), *[F.first(c).alias(c) for c in ("surname", "given", "org", "contributor")])
-    m = cut(even(distinct, "spelling").mapInArrow(_mentions, "name_id string, w bigint, reading int, kind string, name string, initial string, further array<string>, second string"))
+    # the first mention of a spelling stands for all
+    distinct = cut(n.groupBy("spelling").agg(F.min("name_id").alias("first"), F.count(F.lit(1)).alias("w"), *[F.first(c).alias(c) for c in ("surname", "given", "org", "contributor")]))
+    read = distinct.select(F.col("first").alias("name_id"), "w", "surname", "given", "org", "contributor")
+    m = cut(even(read, "name_id").mapInArrow(_mentions, "name_id bigint, w bigint, reading int, kind string, name string, initial string, further array<string>, second string"))
     m = cut(_settled(m))
-    found = _people(m).unionByName(_bodies(m)).withColumnRenamed("name_id", "spelling")
-    return n.select("name_id", "spelling").join(found, "spelling").select("name_id", "entity")
+    found = _people(m).unionByName(_bodies(m)).join(distinct.select(F.col("first").alias("name_id"), "spelling", "w"), "name_id")
+    more = n.join(found.where(F.col("w") > 1).select("spelling", "entity"), "spelling").select("name_id", "entity")
+    return found.where(F.col("w") == 1).select("name_id", "entity").unionByName(more)
 
 
 #: Mentions of one entity that are paired in one task with as many others.
