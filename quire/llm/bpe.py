@@ -84,7 +84,7 @@ class Bpe(dict):
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens side by side."""
-        key = left << 16 | right
+        key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > 1_000_000:
@@ -134,7 +134,7 @@ class Bpe(dict):
         out, at = [token], size[token]
         while at < n:  # without a step back, as for most pieces
             left, token = token, longest[at]
-            fit = fits.get(left << 16 | token)
+            fit = fits.get(left << 20 | token)
             if not (self.adjacent(left, token) if fit is None else fit):
                 return self._backtrack(longest, out, at, token)
             out.append(token)
