@@ -6,9 +6,10 @@ and whether that word is usually small, so that only its place explains a capita
 by the quotations and brackets that it leaves open at either side.
 
 What words do is counted in the whole table: a word that often has a stop, but hardly ever as the last of a text, is an
-abbreviation that ends nothing; one that is found so both at the end and before small letters may end a sentence. The
-counts of the most frequent words, a fixed number, go to every task; lists of usual abbreviations are the opinion to
-begin with, for texts and tables too small to tell. A short capital word that neither knows counts as one by its shape
+abbreviation that ends nothing; one that is found so both at the end and before small letters may end a sentence. All
+words count, whatever their number and length. The most frequent of those that something was learned of, a fixed number,
+go to every task with a filter of fixed size over the others; blocks that may hold one of these are joined with what was
+learned of it. Lists of usual abbreviations are the opinion to begin with, for texts and tables too small to tell. A short capital word that neither knows counts as one by its shape
 (Gov., Insp.), unless a usual opening follows.
 
 Defined results: a block with null text takes its joined runs (a run with null text counts as empty); a block
@@ -21,14 +22,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.confusables import analyse
-from quire.session import even
+from quire.session import cut, even
 from quire.sources.tables import latest
 
 #: Words from which on a span only gets worse by beginning earlier, at an end that is one by itself.
@@ -71,6 +74,7 @@ _END = re.compile(rf"(?:[{HARD}]|[.!?…‽]|;|;)[{HARD}{SOFT}]*")
 _NOTE = re.compile(NOTE)
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _BEFORE = re.compile(r"[^\s()\[\]“”«»‘„,;:!?…。！？।።—–]*$")
+_MARK = re.compile(rf"[{HARD}{SOFT}]")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'.-][^\W\d_]+)*")
 _NAMES = re.compile(r"(?:https?://|www\.)\S*|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?")
 
@@ -165,21 +169,30 @@ def _clean(token: str) -> str:
 
 class Words:
     """What the words of a table do: ``closing`` what a stop behind a word is worth less as an end, ``opening`` how a word
-    speaks for an opening."""
+    speaks for an opening. ``others`` is a filter over words that aren't here; those asked for that it may hold are ``asked``."""
 
-    def __init__(self, closing: dict[str, float] | None = None, opening: dict[str, float] | None = None):
-        self.closing, self.opening = closing or {}, opening or {}
+    def __init__(self, closing: Mapping[str, float] | None = None, opening: Mapping[str, float] | None = None, others: bytes = b""):
+        self.closing, self.opening, self.others = closing or {}, opening or {}, others
+        self.asked: set[str] = set()
+
+    def _learned(self, words: Mapping[str, float], word: str) -> float | None:
+        value = words.get(word)
+        if value is None and self.others:
+            bit = zlib.crc32(word.encode("utf-8", "replace")) % (8 * len(self.others))
+            if self.others[bit >> 3] >> (bit & 7) & 1:
+                self.asked.add(word)
+        return value
 
     def opens(self, word: str) -> float:
-        return 1.0 if word in OPENING else self.opening.get(word, 0.0)
+        return 1.0 if word in OPENING else self._learned(self.opening, word) or 0.0
 
     def stops(self, word: str, plain: str) -> float:
         """How much less a stop behind a word is an end, by its letters as written and its plain form."""
-        learned = self.closing.get(plain)
         if plain in LAST:
             return OFTEN
         if plain in TITLES or plain.split(".")[-1] in TITLES and "." in plain:
             return NEVER
+        learned = self._learned(self.closing, plain)
         if learned is not None:
             return learned
         letters = word.strip("(“‘«„[.’'")
@@ -243,7 +256,7 @@ def _end_score(text: str, at: int, first: int, closed: int, end: int, opened: di
         # a question mark in Greek only
         before = text[max(0, at - 12) : at]
         return (3.0, 0.0) if any("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in before) and before[-1:] not in " \n" and kind != "l" else None
-    before = _clean(_BEFORE.search(text, max(0, at - 40), at).group())
+    before = _clean(_before(text, at))
     last = before.strip(".’'").casefold()
     if kind == "l":
         return None
@@ -311,6 +324,17 @@ def _end_score(text: str, at: int, first: int, closed: int, end: int, opened: di
     return 3.5 - (short if not closer else 0.0), opens
 
 
+def _before(text: str, at: int) -> str:
+    """The token before a position; of more than 40 characters, what follows its last mark."""
+    start = at - 40
+    token = _BEFORE.search(text, max(0, start), at).group()
+    if len(token) == 40 and not _MARK.search(token):
+        while start > 0 and _BEFORE.match(text, start - 1, start) and not _MARK.match(text, start - 1):
+            start -= 1
+        token = text[start:at]
+    return token
+
+
 def _runs_on(text: str, at: int, k: int) -> bool:
     """Whether a stop inside what looks like a file name is an end with a missing space."""
     left = _BEFORE.search(text, max(0, at - 40), at).group()
@@ -412,10 +436,11 @@ def block_texts(blocks: DataFrame, runs: DataFrame) -> DataFrame:
 SURE = 6.0
 #: Share of a word's stops that must go on, and that must end, for a word that does both.
 BOTH = 0.05
-#: Slots of the table of words: in each the most frequent word of those that share it, so that its size is fixed.
-SLOTS = 1 << 17
+#: Words that go to every task, at most, and bits of the filter over the others.
+SLOTS, BITS = 1 << 17, 1 << 23
 
 
+_OPENS = "small > capital AND n >= 3"
 _LETTERS_FIRST = r"^[^\p{L}\p{N}]*"
 
 
@@ -424,70 +449,116 @@ def _core(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"([\p{L}\p{N}](?:.*[\p{L}\p{N}])?)", 1))
 
 
-def _counted(words: DataFrame, count: dict[str, Column]) -> list[dict]:
-    """The sums of some conditions by word ``w``; of the words that share a slot only those of the most frequent one."""
-    sums = words.where(F.col("w").rlike(r"^[^\p{N}]{1,24}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("bigint")).alias(n) for n, c in count.items()])
-    return sums.groupBy((F.crc32(F.col("w").cast("binary")) % SLOTS).alias("slot")).agg(F.max(F.struct("n", "w", *count)).alias("x")).select("x.*").toArrow().to_pylist()
-
-
-def word_table(texts: DataFrame) -> Words:
-    """What the words of a column of texts do, from counts over all of them; at most ``SLOTS`` words reach the driver.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """A row for each word ``w`` without digits of a column of texts: how often it is there, small and as a capital; how
+    many stops behind it end a text, precede an opening, another capital, or small letters and digits; how often it has none.
 
-    First the words that are usually small are found, whose capital only the place at an opening explains. Then the stops
-    behind each word are counted: at the end of a text, before such an opening, before other capitals, before small
-    letters and digits; and how often the word has none.
+    What precedes a capital is first counted by the word that has it, as whether a word is usually small, so that only its
+    place at an opening explains a capital, is known when all are counted.
     """
-    spark = texts.sparkSession
     tokens = texts.where(F.col("text").isNotNull()).select(F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("t")).where(F.size("t") > 0)
-    small, capital = F.col("t").rlike(_LETTERS_FIRST + r"\p{Ll}"), F.col("t").rlike(_LETTERS_FIRST + r"\p{Lu}")
-    case = _counted(tokens.select(F.explode("t").alias("t")).withColumn("w", _core(F.col("t"))), {"small": small, "capital": capital})
-    opening = {r["w"]: 1.0 for r in case if r["small"] > r["capital"] and r["n"] >= 3}
     each = tokens.select(F.explode(F.arrays_zip(F.col("t").alias("t"), F.concat(F.slice("t", F.lit(2), F.size("t")), F.array(F.lit(""))).alias("u"))).alias("x")).select("x.t", "x.u")
-    openers = F.broadcast(spark.createDataFrame([(w,) for w in sorted({*opening, *OPENING})], "o string"))  # at most SLOTS words
-    each = each.join(openers, _core(F.col("u")) == F.col("o"), "left")
+    small, capital = F.col("t").rlike(_LETTERS_FIRST + r"\p{Ll}"), F.col("t").rlike(_LETTERS_FIRST + r"\p{Lu}")
     stop = F.col("t").rlike(r"[\p{L}\p{N}]\.[\"”’»)\]]*$")
     next_capital = stop & F.col("u").rlike(_LETTERS_FIRST + r"\p{Lu}")
-    count = {
-        "end": stop & (F.col("u") == ""), "anew": next_capital & F.col("o").isNotNull(), "name": next_capital & F.col("o").isNull(),
-        "on": stop & F.col("u").rlike(r"^[\p{Ll}\p{N},;]"), "free": ~stop,
-    }
-    return Words(judged(_counted(each.withColumn("w", _core(F.col("t"))), count)), opening)
-
-
-def judged(rows: list[dict]) -> dict[str, float]:
-    """What the stops of the counted words are worth less as ends."""
-    total = {k: sum(r[k] for r in rows) for k in ("end", "anew", "name", "on")}
+    count = {"small": small, "capital": capital, "end": stop & (F.col("u") == ""), "next": next_capital, "on": stop & F.col("u").rlike(r"^[\p{Ll}\p{N},;]"), "free": ~stop}
+    each = each.withColumn("w", _core(F.col("t"))).where(F.col("w").rlike(r"^[^\p{N}]+$"))
+    each = each.withColumn("o", F.when(next_capital, _core(F.col("u"))).otherwise(F.concat(F.lit("."), "w")))  # no word begins with a stop
+    sums = cut(each.groupBy("w", "o").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("bigint")).alias(k) for k, c in count.items()]))
+    openers = sums.groupBy("w").agg(*[F.sum(k).alias(k) for k in ("n", "small", "capital")]).where(_OPENS).select(F.col("w").alias("opener"))
+    sums = sums.join(openers, F.col("o") == F.col("opener"), "left").withColumn("anew", F.when(F.col("opener").isNotNull() | F.col("o").isin(sorted(OPENING)), F.col("next")).otherwise(0))
+    return cut(sums.groupBy("w").agg(*[F.sum(k).alias(k) for k in ("n", "small", "capital", "end", "anew", "on", "free")], F.sum(F.col("next") - F.col("anew")).alias("name")))
+
+
+def judged(counts: DataFrame) -> DataFrame:
+    """``w, n, closing, opening``: what the stops of the counted words are worth less as ends, and whether the words open; of
+    words that say either."""
+    stopped = ("end", "anew", "name", "on")
+    total = counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in stopped]).first()
     # of the stops of ordinary words
-    ends = min(0.5, max(0.02, total["end"] / max(1, sum(total.values()))))
+    ends = min(0.5, max(0.02, total["end"] / max(1, sum(total))))
     anew = min(0.9, max(0.1, total["anew"] / max(1, total["anew"] + total["name"])))
-    closing = {}
-    for r in rows:
-        stops = r["end"] + r["anew"] + r["name"] + r["on"]
-        if stops < 3 or stops < r["free"]:
-            continue
-        if r["on"] >= BOTH * stops and r["end"] + r["anew"] >= BOTH * stops:
-            closing[r["w"]] = OFTEN
-            continue
-        # of an abbreviation one stop in a hundred ends a text, one in fifty precedes an opening and a third small letters
-        likely = r["end"] * math.log(0.01 / ends) + (stops - r["end"]) * math.log(0.99 / (1 - ends))
-        likely += r["anew"] * math.log(0.02 / anew) + r["name"] * math.log(0.98 / (1 - anew)) + r["on"] * math.log(0.33 / 0.02)
-        if likely > SURE:
-            closing[r["w"]] = NEVER
-    return closing
+    end, new, name, on = map(F.col, stopped)
+    stops = end + new + name + on
+    both = (on >= BOTH * stops) & (end + new >= BOTH * stops)
+    # of an abbreviation one stop in a hundred ends a text, one in fifty precedes an opening and a third small letters
+    likely = end * math.log(0.01 / ends) + (stops - end) * math.log(0.99 / (1 - ends))
+    likely += new * math.log(0.02 / anew) + name * math.log(0.98 / (1 - anew)) + on * math.log(0.33 / 0.02)
+    closing = F.when((stops >= 3) & (stops >= F.col("free")), F.when(both, OFTEN).when(likely > SURE, NEVER))
+    return counts.select("w", "n", closing.alias("closing"), F.when(F.expr(_OPENS), 1.0).alias("opening")).where("closing IS NOT NULL OR opening IS NOT NULL")
+
+
+def held(words: DataFrame) -> tuple[Words, DataFrame | None]:
+    """The most frequent of the judged words, at most ``SLOTS``, with a filter over the others; and the others, if any."""
+    least, room = 0, SLOTS
+    for r in sorted(words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().to_pylist(), key=lambda r: -r["n"]):
+        room -= r["words"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    rows = words.where(F.col("n") >= least).toArrow().to_pylist()
+    closing, opening = ({r["w"]: r[k] for r in rows if r[k] is not None} for k in ("closing", "opening"))
+    if not least:
+        return Words(closing, opening), None
+    others = words.where(F.col("n") < least)
+    bits = others.select((F.crc32(F.col("w").cast("binary")) % BITS).cast("int").alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << (bit & 7)")).alias("b")).toArrow()
+    filled = bytearray(BITS >> 3)
+    for at, b in zip(*(c.to_pylist() for c in bits.columns)):
+        filled[at] = b
+    return Words(closing, opening, bytes(filled)), others
+
+
+def word_table(texts: DataFrame) -> Words:
+    """What the words of a column of texts do, from counts over all of them; at most ``SLOTS`` words reach the driver."""
+    return held(judged(word_counts(texts)))[0]
 
 
 _ROWS = pa.schema([("block_id", pa.int64()), ("start_char", pa.int32()), ("end_char", pa.int32())])
 
 
+_ASKED = pa.schema([*_ROWS, ("kind", pa.string()), ("text", pa.string()), ("asked", pa.list_(pa.string()))])
+_FOUND = "block_id bigint, start_char int, end_char int"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
 def block_sentences(blocks: DataFrame, runs: DataFrame) -> DataFrame:
     """``block_id, start_char, end_char``: the sentences of every block."""
-    words = word_table(blocks.select("text"))
-    known = blocks.sparkSession.sparkContext.broadcast((words.closing, words.opening))  # of at most SLOTS words
+    words, others = held(judged(word_counts(blocks.select("text"))))
+    known = blocks.sparkSession.sparkContext.broadcast((words.closing, words.opening, words.others))  # of at most SLOTS words and BITS bits
+    texts = even(block_texts(blocks, runs).select("block_id", "kind", "text"), "block_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(*known.value)
         for b in batches:
-            rows = [(block, s, e) for block, kind, text in zip(*(c.to_pylist() for c in b.columns)) for s, e in sentences(text, kind == "heading", own)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _ROWS)], schema=_ROWS)
+            yield _batch([(block, s, e) for block, kind, text in zip(*(c.to_pylist() for c in b.columns)) for s, e in sentences(text, kind == "heading", own)], _ROWS)
 
-    return even(block_texts(blocks, runs).select("block_id", "kind", "text"), "block_id").mapInArrow(split, "block_id bigint, start_char int, end_char int")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sentences of blocks, or their texts with the words that others may tell something of."""
+        own = Words(*known.value)
+        for b in batches:
+            rows: list[tuple] = []
+            for block, kind, text in zip(*(c.to_pylist() for c in b.columns)):
+                own.asked.clear()
+                found = sentences(text, kind == "heading", own)
+                rows += [(block, None, None, kind, text, sorted(own.asked))] if own.asked else [(block, s, e, None, None, None) for s, e in found]
+            yield _batch(rows, _ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closing, opening, _ = known.value
+        for b in batches:
+            rows: list[tuple] = []
+            for block, kind, text, told in zip(*(c.to_pylist() for c in b.columns)):
+                own = [{r["w"]: r[k] for r in told or [] if r[k] is not None} for k in ("closing", "opening")]
+                rows += [(block, s, e) for s, e in sentences(text, kind == "heading", Words(ChainMap(own[0], closing), ChainMap(own[1], opening)))]
+            yield _batch(rows, _ROWS)
+
+    if others is None:
+        return texts.mapInArrow(split, _FOUND)
+    first = cut(texts.mapInArrow(ask, _FOUND + ", kind string, text string, asked array<string>"))
+    unsure = first.where(F.col("asked").isNotNull())
+    told = unsure.select("block_id", F.explode("asked").alias("w")).join(others, "w").groupBy("block_id").agg(F.collect_list(F.struct("w", "closing", "opening")).alias("told"))
+    again = even(unsure.select("block_id", "kind", "text").join(told, "block_id", "left"), "block_id").mapInArrow(answer, _FOUND)
+    return first.where(F.col("asked").isNull()).select("block_id", "start_char", "end_char").unionByName(again)

@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -92,3 +94,30 @@ def test_long_spans():
     text = "The mill was sold, " * 3000 + "and it closed. Then (it is 5 p.m. in Dr. A. B. Rey’s mill. " * 200
     got = sentences(text)
     assert got[0][0] == 0 and len(got) >= 1 and "".join(text[a:b] for a, b in got).replace(" ", "") == text.replace(" ", "")
+
+
+def test_words_of_one_slot_are_all_learned(spark):
+    a, b = "Befer", "Faban"  # of the same CRC, in 131,072 slots
+    assert zlib.crc32(a.lower().encode()) % (1 << 17) == zlib.crc32(b.lower().encode()) % (1 << 17)
+    long = "Ober" + "landes" * 9  # longer than any window around an end
+    rows = [(f"We paid {w}. {n} for the mill. It was sold in Vorna.",) for w in (a, b, long) for n in range(40)]
+    words = S.word_table(spark.createDataFrame(rows + rows[:5], "text string"))
+    assert {w: words.closing.get(w.lower()) for w in (a, b, long)} == dict.fromkeys((a, b, long), S.NEVER)
+    assert len(sentences(f"We paid {long}. Brown for it.", known=words)) == 1 and len(sentences(f"We paid Unter{long.lower()}. Brown for it.", known=words)) == 2
+
+
+@pytest.mark.parametrize("slots, bits", [(0, 8), (1, 8), (4, 1 << 23), (9, 64), (1 << 17, 1 << 23)])
+def test_words_beyond_the_table_of_every_task_count(spark, monkeypatch, slots, bits):
+    names = ["Zlotnik", "Brakvel", "Dromund", "Éclatér", "Kvartez", "Мельник"]
+    texts = [f"We paid {w}. {n} for the mill. The rain came. Rain fell in Vorna." for k, w in enumerate(names) for n in range(20 + k)]
+    ask = [f"We paid {w}. Brown for it. Rain fell there." for w in [*names, "Vorna", "Other"]] + [None, " ", "Rain fell. We paid Brakvel. Brown for Dromund. Smith."]
+    blocks = spark.createDataFrame([(i, "d", 1, i, "heading" if i == 3 else "paragraph", t, None) for i, t in enumerate(texts + ask)], "block_id bigint, doc_id string, page int, ord bigint, kind string, text string, loaded_at timestamp")
+    runs = spark.createDataFrame([(len(texts + ask) - 3, 0, "We paid Zlotnik. Brown for it. Rain fell.")], "block_id bigint, run_ix int, text string")
+    words = S.word_table(blocks.select("text"))
+    assert {n.lower() for n in names} <= {*words.closing} and words.closing["zlotnik"] == S.NEVER
+    want = [(i, s, e) for i, t in enumerate([*texts, *ask[:-3], "We paid Zlotnik. Brown for it. Rain fell.", *ask[-2:]]) for s, e in sentences(t, i == 3, words)]
+    monkeypatch.setattr(S, "SLOTS", slots)
+    monkeypatch.setattr(S, "BITS", bits)
+    shipped, others = S.held(S.judged(S.word_counts(blocks.select("text"))))
+    assert len({*shipped.closing, *shipped.opening}) <= slots and (others is None) == (slots == 1 << 17)
+    assert sorted(map(tuple, block_sentences(blocks, runs).collect())) == want
